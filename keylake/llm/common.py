@@ -5,8 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,34 +46,6 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words (runs without ASCII white space) of a text, in order."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective mix of 64-bit integers (the finaliser of SplitMix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_hashes(text: str, width: int = WORDS_PER_SHINGLE) -> np.ndarray:
-    """Hashes of all windows of `width` words, repeats included.
-
-    A text of fewer words is one shingle of all its words; without words, one empty shingle.
-    """
-    h = word_hashes(text)
-    n = len(h)
-    span = min(width, n)
-    rows = n - span + 1 if n else 1
-    out = np.full(rows, 0x9E3779B97F4A7C15 + span, np.uint64)
-    for k in range(span):
-        out = mixed(out * np.uint64(0x2545F4914F6CDD1D) + h[k : k + rows])
-    return out
-
-
 def batch_of(columns: dict):
     """An Arrow record batch from a dict of arrays or lists with their types as (values, type)."""
     import pyarrow as pa

@@ -104,8 +104,12 @@ class LineRuns:
         return self.counts().filter(F.col("n") >= min_docs).select(*KEY)
 
     def unseen(self, lines: DataFrame, min_docs: int = 1) -> DataFrame:
-        """The batch's lines whose keys are in fewer than min_docs documents of the runs: a merge anti-join."""
-        return lines.join(self.frequent(min_docs).hint("merge"), KEY, "left_anti")
+        """The batch's lines whose keys are in fewer than min_docs documents of the runs: a merge anti-join.
+
+        The frequent keys are written first, so that both sides of the join are plain exchanges and
+        Spark can split the partition of a hot line.
+        """
+        return lines.join(stored(self.frequent(min_docs)).hint("merge"), KEY, "left_anti")
 
 
 def drop_shared_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3) -> DataFrame:
