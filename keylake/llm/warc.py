@@ -160,7 +160,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, archiv
 
         def close(records, size):
             name = f"{uuid.uuid4().hex}.warc.zst"
-            with where.open_output_stream(f"{base}/.{name}.part") as out:
+            with where.open_output_stream(f"{base}/.{name}.part", compression=None) as out:
                 write_archive(out, records)
             where.move(f"{base}/.{name}.part", f"{base}/{name}")
             return batch_of({"archive": ([name], pa.string()), "records": ([len(records)], pa.int64()), "payload_bytes": ([size], pa.int64()), "stored_bytes": ([where.get_file_info(f"{base}/{name}").size], pa.int64())})
@@ -192,7 +192,7 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
         for b in it:
             for name in b.column("archive").to_pylist():
                 rows = []
-                with where.open_input_stream(f"{base}/{name}") as source:
+                with where.open_input_stream(f"{base}/{name}", compression=None) as source:
                     for data in read_archive(source):
                         rows.append(parse_record(data) | {"archive": name})
                         del rows[-1]["payload"]
