@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keylake.llm.common import batch_of, shared_dir, stored, text_or_empty
 
@@ -51,13 +52,15 @@ def line_rows(documents: DataFrame, min_chars: int = 1, batches: int = 1) -> Dat
             batch = [x % batches for x in t.to_pylist()]
             yield batch_of({"batch": (batch, pa.int32()), "doc_id": (ids.take(at), None), "t": (t, None), "pos": (pos, pa.int32()), "h1": (h1, pa.int64()), "h2": (h2, pa.int64())})
 
-    source = identified(documents)
+    source = identified(documents).drop("row")
     return source.mapInArrow(rows, "batch int, doc_id long, t long, pos int, h1 long, h2 long")
 
 
 def identified(documents: DataFrame) -> DataFrame:
+    """doc_id, text, t (a hash of the text), and `row`, a struct of the other columns."""
     text = text_or_empty()
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
+    others = [F.col(f"`{c}`") for c in documents.columns if c.lower() != "text"]
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"), F.struct(*others).alias("row"))
 
 
 class LineRuns:
@@ -113,7 +116,7 @@ class LineRuns:
 
 
 def drop_shared_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """doc_id, t, n_lines, n_dropped, kept (the text without lines whose key is in min_docs documents or more).
+    """doc_id, n_lines, n_dropped, kept (the text without lines whose key is in min_docs documents or more), row (the other columns).
 
     The lines' hashes are written once, by batch; each batch adds its run. Then all lines are
     anti-joined with the runs' frequent keys, and each text is rebuilt from the lines that stay.
@@ -125,7 +128,7 @@ def drop_shared_lines(documents: DataFrame, min_docs: int = 10, min_chars: int =
         runs.add(lines.filter(F.col("batch") == b))
     stay = runs.unseen(lines, min_docs).groupBy("doc_id", "t").agg(F.collect_set("pos").alias("stay"))
     d, k = identified(documents).alias("d"), stay.alias("k")
-    joined = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.t") == F.col("k.t")), "left").select("d.doc_id", "d.t", "d.text", "k.stay")
+    joined = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.t") == F.col("k.t")), "left").select("d.doc_id", "d.text", "k.stay", "d.row")
 
     def rebuild(it):
         for b in it:
@@ -137,9 +140,17 @@ def drop_shared_lines(documents: DataFrame, min_docs: int = 10, min_chars: int =
                 n_lines.append(len(all_lines))
                 n_dropped.append(len(all_lines) - len(left))
                 kept.append("\n".join(left))
-            yield batch_of({"doc_id": (b.column("doc_id"), None), "t": (b.column("t"), None), "n_lines": (n_lines, pa.int64()), "n_dropped": (n_dropped, pa.int64()), "kept": (kept, pa.string())})
+            yield batch_of({"doc_id": (b.column("doc_id"), None), "n_lines": (n_lines, pa.int64()), "n_dropped": (n_dropped, pa.int64()), "kept": (kept, pa.string()), "row": (b.column("row"), None)})
 
-    return joined.mapInArrow(rebuild, "doc_id long, t long, n_lines long, n_dropped long, kept string")
+    schema = T.StructType.fromDDL("doc_id long, n_lines long, n_dropped long, kept string").add(joined.schema["row"])
+    return joined.mapInArrow(rebuild, schema)
+
+
+def cleaned(documents: DataFrame, min_docs: int = 10) -> DataFrame:
+    """The documents with all their columns; text without shared lines, and n_chars, where there is one, as it then is."""
+    out = drop_shared_lines(documents, min_docs)
+    now = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*[now[c.lower()].alias(c) if c.lower() in now else F.col(f"row.`{c}`") for c in documents.columns])
 
 
 def _short(line: str, min_chars: int) -> bool:
@@ -152,7 +163,7 @@ def digest(text: str) -> str:
 
 
 def op9(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    return drop_shared_lines(documents).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+    return drop_shared_lines(documents.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
 OP9_SQL = r"""

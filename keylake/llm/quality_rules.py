@@ -67,15 +67,18 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(hashed, of))
 
 
-def text_stats(documents: DataFrame) -> DataFrame:
-    """doc_id and the counts of each text."""
-    first = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+def text_stats(documents: DataFrame, with_row: bool = False) -> DataFrame:
+    """doc_id and the counts of each text; with_row: and `row`, a struct of all columns."""
+    row = [F.struct("*").alias("row")] if with_row else []
+    first = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *row)
+    row = ["row"] if with_row else []
     count = lambda keep: F.length(F.regexp_replace("text", keep, ""))
     lines = lambda x: F.filter(F.split(x, "\n"), lambda y: y.rlike(r"[^\x20\x09-\x0D]"))
     per_words = lambda w: F.struct(F.size(w).alias("n_words"), F.size(F.array_distinct(w)).alias("n_distinct"), _repeat_words(w).alias("n_repeat_words"))
     per_lines = lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
     return first.select(
         "doc_id",
+        *row,
         count(SPACE).alias("word_chars"),
         count(r"[^#*$%&|<>]+").alias("n_symbols"),
         count(r"[^A-ZÀ-ÖØ-Þ]+").alias("n_upper"),
@@ -85,6 +88,7 @@ def text_stats(documents: DataFrame) -> DataFrame:
         let(lines(F.col("text")), per_lines).alias("l"),
     ).select(
         "doc_id",
+        *row,
         F.col("w.n_words").cast("long").alias("n_words"),
         F.col("word_chars").cast("long").alias("word_chars"),
         F.col("n_symbols").cast("long").alias("n_symbols"),
@@ -231,14 +235,19 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def judge(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def judge(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, with_row: bool = False) -> DataFrame:
     """doc_id, the counts, base_failed, the STATS and kept. The counts are written once: learning and judging both read them."""
-    stats = stored(text_stats(documents)).withColumns(ratios())
+    stats = stored(text_stats(documents, with_row)).withColumns(ratios())
     rules = fit(stats, labels, max_labelled)
     failed = F.coalesce(base_failed(), F.lit(True))
     return stats.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def accepted(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    return judge(documents, labels, max_labelled, with_row=True).filter("kept").select("row.*")
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -264,6 +264,12 @@ def scored(documents: DataFrame, model: Model | None) -> DataFrame:
     return documents.mapInArrow(score, T.StructType([*kinds.fields, T.StructField(added, T.DoubleType())]))
 
 
+def accepted(documents: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score less than threshold, with all their columns."""
+    out = scored(documents, model)
+    return out.filter(F.col(out.columns[-1]) < threshold).drop(out.columns[-1])
+
+
 def op5(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(documents, labels)
     out = scored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
