@@ -34,15 +34,19 @@ PART_GRAMS = 1 << 21
 #: Of a text's bytes, so many make up one n-gram of all orders: for the number of parts.
 BYTES_PER_GRAM = 2
 
+#: Texts gathered in a task before they are dealt out.
+GATHER_BYTES = 16 << 20
+
+BLOCKS = "block int, doc_ids array<long>, sizes binary, texts binary"
 COUNTS = "block int, part int, n long, grams binary, counts binary"
 TOTALS = "block int, part int, totals binary"
 SCORES = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, n_unknown long, log_score double"
 
 
-def _zip(a: np.ndarray) -> bytes:
+def _zip(a: np.ndarray, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(a).tobytes())
 
 
 def _unzip(raw: bytes, kind) -> np.ndarray:
@@ -51,6 +55,16 @@ def _unzip(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
+def _zip_counts(a: np.ndarray) -> bytes:
+    """Counts, at the least width that holds the largest."""
+    width = next(w for w in (1, 2, 4, 8) if int(a.max(initial=0)) < 1 << (8 * w - 1))
+    return bytes([width]) + _zip(a.astype(f"<i{width}"), 3)
+
+
+def _unzip_counts(raw: bytes) -> np.ndarray:
+    return _unzip(raw[1:], f"<i{raw[0]}").astype(np.int64)
+
+
 def packed_grams(sorted_hashes: np.ndarray) -> bytes:
     """Sorted 64-bit hashes as differences, byte by byte of rising significance, so that the upper bytes compress away."""
     steps = np.diff(sorted_hashes, prepend=np.uint64(0))
@@ -62,6 +76,36 @@ def unpacked_grams(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def gathered(documents: DataFrame, blocks: int) -> DataFrame:
+    """A block's documents in compressed lots: what a task has gathered of it in GATHER_BYTES of texts."""
+    text = text_or_empty()
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("int").alias("block"))
+
+    def gather(it):
+        lots: dict[int, tuple[list, list]] = {}
+        total = 0
+
+        def lots_out():
+            keys = list(lots)
+            texts = [b"".join(lots[k][1]) for k in keys]
+            sizes = [np.array([len(x) for x in lots[k][1]], np.int64) for k in keys]
+            return batch_of({"block": (keys, pa.int32()), "doc_ids": ([lots[k][0] for k in keys], pa.list_(pa.int64())), "sizes": ([_zip(x) for x in sizes], pa.binary()), "texts": ([_zip(np.frombuffer(x, np.uint8), 6) for x in texts], pa.binary())})
+
+        for b in it:
+            for i, k, text in zip(b.column("doc_id").to_pylist(), b.column("block").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                lot = lots.setdefault(k, ([], []))
+                lot[0].append(i)
+                lot[1].append(text)
+                total += len(text)
+                if total >= GATHER_BYTES:
+                    yield lots_out()
+                    lots, total = {}, 0
+        if lots:
+            yield lots_out()
+
+    return rows.mapInArrow(gather, BLOCKS)
+
+
 class Grams:
     """The n-grams of some texts: per order, hashes and how many each text has."""
 
@@ -83,7 +127,7 @@ def _asked(parts: int, order: int):
         block = table.column("block")[0].as_py()
         hashes, counts = Grams(_bytes(table), order).distinct()
         edges = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1))
-        rows = [(block, p, b - a, packed_grams(hashes[a:b]), _zip(counts[a:b])) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
+        rows = [(block, p, b - a, packed_grams(hashes[a:b]), _zip_counts(counts[a:b])) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
         cols = list(zip(*rows)) or [[]] * 5
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in COUNTS.split(", ")])
@@ -92,14 +136,18 @@ def _asked(parts: int, order: int):
 
 
 def _bytes(table: pa.Table) -> list[bytes]:
-    return table.column("text").cast(pa.binary()).to_pylist()
+    out = []
+    for sizes, texts in zip(table.column("sizes").to_pylist(), table.column("texts").to_pylist(), strict=True):
+        ends, raw = np.cumsum(_unzip(sizes, np.int64)).tolist(), _unzip(texts, np.uint8).tobytes()
+        out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+    return out
 
 
 def _added(table: pa.Table) -> pa.Table:
     """One part: its slice of the count table, joined to what each block asked for."""
     grams = [unpacked_grams(x) for x in table.column("grams").to_pylist()]
     sizes = [len(g) for g in grams]
-    counts = np.concatenate([_unzip(x, np.int64) for x in table.column("counts").to_pylist()])
+    counts = np.concatenate([_unzip_counts(x) for x in table.column("counts").to_pylist()])
     every = np.concatenate(grams)
     del grams
     order = np.argsort(every, kind="stable")
@@ -108,28 +156,31 @@ def _added(table: pa.Table) -> pa.Table:
     sums = np.add.reduceat(counts[order], first)
     totals = np.empty(len(every), np.int64)
     totals[order] = np.repeat(sums, np.diff(np.append(first, len(every))))
-    blobs = [_zip(x) for x in np.split(totals, np.cumsum(sizes)[:-1])]
+    blobs = [_zip_counts(x) for x in np.split(totals, np.cumsum(sizes)[:-1])]
     return pa.Table.from_arrays([table.column("block"), table.column("part"), pa.array(blobs, pa.binary())], names=["block", "part", "totals"])
 
 
-def _own(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each n-gram of each text, how often the text has it."""
-    doc = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((grams, doc))
-    g, d = grams[order], doc[order]
-    first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])))) if len(g) else np.zeros(0, np.int64)
+def _of_others(grams: np.ndarray, n: np.ndarray, counts_of) -> np.ndarray:
+    """For each n-gram of each text, how often the rest of the corpus has it. counts_of: sorted distinct hashes -> counts over the corpus."""
+    if not len(grams):
+        return np.zeros(0, np.int64)
+    order = np.argsort(grams, kind="stable")  # equal n-grams stay in the order of their texts
+    g, d = grams[order], np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
+    new = np.concatenate(([True], g[1:] != g[:-1]))
+    total = np.repeat(counts_of(g[new]), np.diff(np.append(np.flatnonzero(new), len(g))))
+    own = np.flatnonzero(new | np.concatenate(([True], d[1:] != d[:-1])))
+    times = np.diff(np.append(own, len(g)))
     out = np.empty(len(g), np.int64)
-    out[order] = np.repeat(np.diff(np.append(first, len(g))), np.diff(np.append(first, len(g))))
+    out[order] = total - np.repeat(times, times)
     return out
 
 
-def score_texts(texts: list[bytes], lookup, corpus_words: int, order: int = ORDER, backoff: float = BACKOFF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: words, words by the order that scored them (column 0: unknown), sum of log scores. lookup: hashes -> counts over the corpus."""
-    g = Grams(texts, order)
-    n = g.n_words
-    doc = np.repeat(np.arange(len(texts)), n)
+def score_texts(g: Grams, counts_of, corpus_words: int, backoff: float = BACKOFF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: words, words by the order that scored them (column 0: unknown), sum of log scores."""
+    n, order = g.n_words, len(g.orders)
+    doc = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    left = [lookup(h) - _own(h, k) for h, k in g.orders]  # of the other documents
+    left = [_of_others(h, k, counts_of) for h, k in g.orders]
     rest = np.maximum(corpus_words - n, 1)[doc].astype(np.float64)
     log = order * np.log(backoff) - np.log(rest)
     # Backing off starts at the highest order that a place has, so early words aren't punished for having no history.
@@ -139,14 +190,14 @@ def score_texts(texts: list[bytes], lookup, corpus_words: int, order: int = ORDE
         at = np.flatnonzero(place >= k - 1)  # the k-gram that ends here
         known = left[k - 1] > 0
         at, count = at[known], left[k - 1][known]
-        history = rest[at] if k == 1 else left[k - 2][_before(g.orders[k - 2][1], k)][known]
+        history = rest[at] if k == 1 else left[k - 2][_before(g.orders[k - 2][1])][known]
         log[at] = np.log(count / history) + np.maximum(np.minimum(order - 1, place[at]) - (k - 1), 0) * np.log(backoff)
         by[at] = k
-    used = np.stack([np.bincount(doc[by == k], minlength=len(texts)) for k in range(order + 1)], axis=1)
-    return n, used, np.bincount(doc, log, minlength=len(texts))
+    used = np.bincount(doc * (order + 1) + by, minlength=len(n) * (order + 1)).reshape(len(n), order + 1)
+    return n, used, np.bincount(doc, log, minlength=len(n))
 
 
-def _before(n: np.ndarray, k: int) -> np.ndarray:
+def _before(n: np.ndarray) -> np.ndarray:
     """Places of the (k-1)-grams with which k-grams begin: all but each text's last one."""
     last = np.cumsum(n)[n > 0] - 1
     keep = np.ones(int(n.sum()), bool)
@@ -155,17 +206,18 @@ def _before(n: np.ndarray, k: int) -> np.ndarray:
 
 
 def _scored(corpus_words: int, order: int, backoff: float):
-    def score(texts: pa.Table, totals: pa.Table) -> pa.Table:
-        raw = _bytes(texts)
-        hashes, _ = Grams(raw, order).distinct()
+    def score(lots: pa.Table, totals: pa.Table) -> pa.Table:
+        g = Grams(_bytes(lots), order)
+        hashes, _ = g.distinct()
         parts = sorted(zip(totals.column("part").to_pylist(), totals.column("totals").to_pylist()))
-        counts = np.concatenate([np.zeros(0, np.int64), *[_unzip(x, np.int64) for _, x in parts]])
+        counts = np.concatenate([np.zeros(0, np.int64), *[_unzip_counts(x) for _, x in parts]])
         if len(counts) != len(hashes):
             raise ValueError("the totals don't match the block's n-grams")
-        n, used, log = score_texts(raw, lambda h: counts[np.searchsorted(hashes, h)], corpus_words, order, backoff)
-        cols = [texts.column("doc_id"), n, used[:, 3], used[:, 2], used[:, 1], used[:, 0], log]
+        n, used, log = score_texts(g, lambda h: counts[np.searchsorted(hashes, h)], corpus_words, backoff)
+        ids = lots.column("doc_ids").combine_chunks().flatten()
+        cols = [ids, n, used[:, 3], used[:, 2], used[:, 1], used[:, 0], log]
         kinds = [pa.int64()] * 6 + [pa.float64()]
-        return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in SCORES.split(", ")])
+        return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in SCORES.split(", ")])
 
     return score
 
@@ -175,8 +227,7 @@ def lm_scores(documents: DataFrame, backoff: float = BACKOFF, block_bytes: int =
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("words")).first()
     blocks = max(1, -(-size["bytes"] // block_bytes))
     parts = max(1, -(-size["bytes"] // (BYTES_PER_GRAM * part_grams)))
-    text = text_or_empty()
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("int").alias("block"))
+    rows = gathered(documents, blocks)
     asked = rows.groupBy("block").applyInArrow(_asked(parts, ORDER), COUNTS)
     totals = asked.groupBy("part").applyInArrow(_added, TOTALS)
     out = rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scored(size["words"], ORDER, backoff), SCORES)
