@@ -8,11 +8,14 @@ and the earliest per coordinate is the signature: two texts agree at a coordinat
 their weighted Jaccard similarity. Texts with a coordinate not hit throw on to a higher rank.
 
 Signatures are cut into bands, and texts with an equal band are candidates. Equal texts are one node from the
-start. In each bucket all nodes are first held against one hub; only nodes of buckets that are still in
-different components are then held against other hubs, and at last against all of the other components
-there, so that big groups cost a few comparisons a node and no candidate pair of different components
-stays unchecked. A pair is linked if the weighted Jaccard similarity of its shingles, compared by
-40-bit hashes, is `near` or more. Classes are the connected components, grown by label propagation.
+start. In each bucket all nodes are held against one hub, the node with the most bucket mates. A bucket that
+then still holds different components is settled by all pairs of them if it is small. A large one is split
+further, without loss: if y isn't linked to hub c, then a link of y and z needs a shingle outside c that both
+have, unless z is so much smaller than c that they may lack the same shingles of c instead (see `split`). So
+buckets by (hub, shared difference) hold every pair that can be linked, and take the next round. A group of
+any size costs a few comparisons a node, and no candidate pair of different components stays unchecked. A
+pair is linked if the weighted Jaccard similarity of its shingles, compared by 40-bit hashes, is `near` or
+more. Classes are the connected components, grown by label propagation.
 
 Defined cases: a text of fewer words than a shingle is one shingle of all its words; null, empty and blank
 texts are equal; texts that differ in ASCII white space alone are equal; rows with a null doc_id take part
@@ -37,7 +40,10 @@ BANDS = 32
 DARTS = 1200
 #: A table of at most this many pairs or edges is sent to all tasks; a larger one is joined by exchange.
 FEW = 50_000
-HUB_ROUNDS = 3
+#: A bucket of at most this many nodes is settled by pairs.
+SMALL = 16
+#: If all buckets together have at most this many pairs, they all are.
+EASY = 100_000
 
 U = np.uint64
 #: Rank cells below 1; from there on cells have length 1.
@@ -236,6 +242,79 @@ def linked(pairs: DataFrame, shingles: DataFrame, near: float = NEAR) -> DataFra
     return both.mapInArrow(check, "a long, b long")
 
 
+def differences(pairs: DataFrame, shingles: DataFrame, near: float = NEAR) -> DataFrame:
+    """Of pairs (node, hub): how far the node is from being linked (`excess`, positive if it isn't), how much smaller than the hub it is, what it adds and what it lacks."""
+    of_node, of_hub = (shingles.select(F.col("node").alias(n), F.col("units").alias(u)) for n, u in (("node", "ua"), ("hub", "ub")))
+    both = pairs.join(of_node, "node").join(of_hub, "hub").select("node", "hub", "ua", "ub")
+
+    def compare(it):
+        for batch in it:
+            out: list[list] = [[], [], [], [], [], []]
+            for node, hub, ra, rb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                a, c = _unit_hashes(ra), _unit_hashes(rb)
+                added, lacks = np.setdiff1d(a, c, assume_unique=True), np.setdiff1d(c, a, assume_unique=True)
+                for x, v in zip(out, (node, hub, len(lacks) + near * len(added) - (1 - near) * len(c), len(c) - len(a), added.view(np.int64), lacks.view(np.int64))):
+                    x.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["node", "hub", "excess", "smaller", "added", "lacks"])
+
+    return both.mapInArrow(compare, "node long, hub long, excess double, smaller long, added array<long>, lacks array<long>")
+
+
+def _hubs(buckets: DataFrame) -> DataFrame:
+    """Each bucket's node of the greatest weight."""
+    return buckets.groupBy("key").agg(F.max(F.struct("w", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+
+
+def _far_hubs(buckets: DataFrame) -> DataFrame:
+    """Each bucket's hub, taken from all bucket mates of its nodes: buckets that overlap mostly get the same one."""
+    top = buckets.groupBy("key").agg(F.max(F.struct("w", "node")).alias("h"))
+    best = buckets.join(top, "key").groupBy("node").agg(F.max("h").alias("h"))
+    return buckets.select("key", "node").join(best, "node").groupBy("key").agg(F.max("h").alias("h")).select("key", F.col("h.node").alias("hub"))
+
+
+def split(buckets: DataFrame, shingles: DataFrame, near: float = NEAR) -> DataFrame:
+    """Smaller buckets (key, node, w, label) that hold every pair of different labels of these that can be linked and isn't tested.
+
+    Let y and z share a bucket with hub c, y lack A of c's shingles and add B, z lack A' and add B', and let them share
+    r of what they lack and s of what they add. Their similarity is near or more if and only if
+    (1 + near) (r + s) >= excess(y) + A' + near B', where excess(y) = A + near B - (1 - near) |c| is positive
+    as y isn't linked to c. As r <= A', that needs (1 + near) s >= excess(y) - near (A' - B'), and A' - B' = |c| - |z|.
+    So either s > 0, and y shares so many of its additions with nodes of other labels, or excess(y) <= near (|c| - |z|)
+    and r > 0. Only buckets with such a y are kept, and of buckets with the same nodes one.
+    """
+    rows = stored(buckets.join(_far_hubs(buckets), "key").filter("node <> hub").select("node", "hub", "w", "label").distinct())
+    d = stored(differences(rows.select("node", "hub"), shingles, near).join(rows, ["node", "hub"]))
+    reach = d.groupBy("hub").agg(F.max("smaller").alias("most"), F.max("excess").alias("far")).filter("far > -1e-9")
+    d = d.join(reach, "hub")
+    open_ = F.col("excess") > -1e-9
+    need = F.greatest(F.lit(1), F.ceil((F.col("excess") - near * F.greatest("most", F.lit(0))) / (1 + near) - 1e-9))
+    added = d.select("hub", "node", "label", open_.alias("open"), need.alias("need"), F.explode("added").alias("unit"))
+    added = added.join(added.groupBy("hub", "unit").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("hub", "unit"), ["hub", "unit"])
+    askers = added.filter("open").groupBy("hub", "node", "need").agg(F.count("*").alias("n")).filter("n >= need").select("hub", "node", F.lit(True).alias("asker"))
+    plus = added.join(askers, ["hub", "node"], "left").select(F.xxhash64(F.lit("+"), "hub", "unit").alias("key"), "node", F.coalesce("asker", F.lit(False)).alias("asks"))
+    asks = open_ & (F.col("excess") <= near * F.col("most") + 1e-9)
+    minus = d.filter((F.col("smaller") > 0) | asks).select("node", "hub", asks.alias("asks"), F.explode("lacks").alias("unit")).select(F.xxhash64(F.lit("-"), "hub", "unit").alias("key"), "node", "asks")
+    keys = stored(plus.unionByName(minus))
+    wanted = keys.groupBy("key").agg(F.max("asks").alias("asked"), F.count("*").alias("n")).filter("asked and n > 1").select("key")
+    of_node = buckets.select("node", "w", "label").distinct()
+    kept = collapsed(keys.select("key", "node").join(wanted, "key", "left_semi"))
+    out = stored(kept.join(of_node, "node"))
+    return out.join(_mixed(out), "key", "left_semi")
+
+
+def collapsed(buckets: DataFrame) -> DataFrame:
+    """Of buckets (key, node) with the same nodes one, named by its nodes."""
+    h = F.xxhash64("node")
+    name = buckets.groupBy("key").agg(F.xxhash64(F.bit_xor(h), F.sum(F.shiftright(h, 20)), F.count("*")).alias("name"))
+    return buckets.join(name, "key").select(F.col("name").alias("key"), "node").distinct()
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Keys whose nodes have different labels."""
+    return rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label of every node of the edges (a, b), stored: label is the smallest node of its component."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -251,41 +330,57 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def near_classes(documents: DataFrame, near: float = NEAR, bands: int = BANDS, coordinates: int = COORDINATES, width: int = WORDS_PER_SHINGLE) -> DataFrame:
+def _pairs(buckets: DataFrame) -> float:
+    return buckets.agg(F.sum((F.col("n") - 1) / 2)).first()[0] or 0
+
+
+def near_classes(documents: DataFrame, near: float = NEAR, bands: int = BANDS, coordinates: int = COORDINATES, width: int = WORDS_PER_SHINGLE, small: int = SMALL, easy: int = EASY) -> DataFrame:
     """doc_id, t (xxhash64 of the text), class_id, class_t: of the document that stands for the class."""
     rows = keyed(documents)
     prints = stored(signed(rows, bands, coordinates, width))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("first")
     nodes = stored(prints.groupBy("node").agg(first, F.min("bands").alias("bands")))
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = stored(keys.join(shared, "key"))
+    weights = buckets.groupBy("node").agg(F.sum("n").alias("w"))
+    buckets = stored(collapsed(buckets.select("key", "node")).join(weights, "node"))
     firsts = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("first.doc_id").alias("i"), F.col("first.t").alias("u"))
     texts = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u")), "left_semi")
     shingles = stored(shingled(texts, width).groupBy("node").agg(F.first("units").alias("units")))
 
-    pairs = stored(buckets.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    tested = pairs
-    edges = stored(linked(pairs, shingles, near))
-    for turn in range(HUB_ROUNDS):
+    empty = rows.sparkSession.createDataFrame([], "a long, b long")
+    edges = tested = empty
+
+    def test(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        new = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        return stored(edges.unionByName(linked(new, shingles, near))), tested.unionByName(new)
+
+    while True:
+        hubs = _hubs(buckets).unionByName(_far_hubs(buckets))
+        around = buckets.join(hubs, "key").filter("node <> hub")
+        edges, tested = test(around.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")))
         labels = components(edges)
-        # Buckets that hold nodes of different components, with each node's component.
-        known = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        mixed_keys = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        left = stored(known.join(mixed_keys, "key", "left_semi"))
-        if left.isEmpty():
+        known = buckets.select("key", "node", "w").join(labels, "node", "left").select("key", "node", "w", F.coalesce("label", "node").alias("label"))
+        left = known.join(_mixed(known), "key", "left_semi")
+        left = stored(left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key"))
+        pairs = _pairs(left)
+        if pairs == 0:
             break
-        if turn < HUB_ROUNDS - 1:
-            hubs = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "label")).alias("hub"))
-            found = left.join(hubs, "key").filter("label <> hub.label").select(F.least("node", "hub.node").alias("b"), F.greatest("node", "hub.node").alias("a"))
-        else:  # what is left, whole: pairs of different components in a bucket
-            other = left.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-            found = left.join(other, "key").filter("node > b and label <> other").select(F.col("node").alias("a"), "b")
-        pairs = stored(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(pairs)
-        edges = stored(edges.unionByName(linked(pairs, shingles, near)))
-    else:
-        labels = components(edges)
+        by_pairs, smaller = F.lit(True), None
+        if pairs > easy:
+            smaller = stored(split(left.filter(F.col("n") > small).drop("n"), shingles, near).drop("label"))
+            if 2 * _pairs(smaller.join(smaller.groupBy("key").agg(F.count("*").alias("n")), "key")) <= pairs:
+                by_pairs = F.col("n") <= small
+            else:  # splitting doesn't help these buckets
+                smaller = None
+        few = left.filter(by_pairs).select("key", "node", "label")
+        other = few.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
+        edges, tested = test(few.join(other, "key").filter("node > b and label <> other").select(F.col("node").alias("a"), "b"))
+        if smaller is None:
+            break
+        buckets = smaller
+    labels = components(edges)
     member = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     heads = member.groupBy("label").agg(F.min("first").alias("head"))
     class_of = member.join(heads, "label").select("node", F.col("head.doc_id").alias("class_id"), F.col("head.t").alias("class_t"))
