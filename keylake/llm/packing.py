@@ -34,7 +34,7 @@ ISLANDS = 2
 POPULATION = 5
 EPOCHS = 2
 GENERATIONS = 8
-CACHED = 300_000
+CACHED = 1_000_000
 
 PIECE = "deal long, doc_id long, piece int, start long, length long, ids_crc32 long"
 ISLAND = "shard long, island int, lengths binary, population binary, capacity int"
@@ -49,11 +49,9 @@ class _WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self) >= CACHED:
-            self.clear()
-        for w, e in zip(words, self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+    def ids_of(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)}
 
 
 _words: dict[str, _WordIds] = {}
@@ -72,16 +70,13 @@ def token_bytes(texts: list[str], path: str, closing: int | None = CLOSING_ID) -
     out = []
     for text in texts:
         words = text.encode().split()
-        try:
-            out.append(b"".join(map(known.__getitem__, words)) + end)
-        except KeyError:
-            known.learn(list({w for w in words if w not in known}))
-            if len(known) < CACHED or all(w in known for w in words):
-                out.append(b"".join(map(known.__getitem__, words)) + end)
-            else:
-                known.clear()
-                known.learn(list(set(words)))
-                out.append(b"".join(map(known.__getitem__, words)) + end)
+        parts = list(map(known.get, words))
+        if None in parts:
+            new = known.ids_of(list({w for w, p in zip(words, parts) if p is None}))
+            parts = [new[w] if p is None else p for w, p in zip(words, parts)]
+            if len(known) < CACHED:
+                known.update(new)
+        out.append(b"".join(parts) + end)
     return out
 
 
