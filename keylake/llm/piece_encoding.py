@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from keylake.llm.common import batch_of, text_or_empty
 
 MARK = "▁"
-CACHED = 300_000
+CACHED = 800_000
 
 
 class PieceModel:
@@ -92,9 +92,9 @@ class PieceModel:
         """Whether merging the joined text gives the two pieces again."""
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) >= CACHED:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self.merge(a + b) == [a, b]
+            known = self.merge(a + b) == [a, b]
+            if len(self._pairs) < CACHED:
+                self._pairs[a, b] = known
         return known
 
     def backtrack(self, chunk: str) -> list[str]:
@@ -207,9 +207,7 @@ class _Coded(dict):
     def __missing__(self, chunk: str):
         ids = self.model.chunk_ids(chunk)
         value = (",".join(map(str, ids)), len(ids), self.model.joined(ids))
-        if len(chunk) <= 64:
-            if len(self) >= CACHED:
-                self.clear()
+        if len(chunk) <= 64 and len(self) < CACHED:
             self[chunk] = value
         return value
 
