@@ -35,7 +35,7 @@ def stored(df: DataFrame, path: str | None = None, partition_by: list[str] | Non
     """df written once as Parquet in the shared folder and read again: survives lost executors."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
