@@ -1,17 +1,17 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax.
 
-A word's vector is the mean of the vectors of its hashed character n-grams and of itself; a window of
-`WINDOW` words is the mean of its words' vectors; a linear softmax turns that into the chance of label
-1. Embeddings and softmax are trained jointly in numpy. A document counts as toxic as its worst window:
-first the whole document's mean is trained, then the worst window of each toxic document against all
-windows of the others. As misspelt words share most n-grams with the words seen in training, they share
-their vectors. The worst window's logit becomes a chance by a logistic fit on a fifth of the training rows.
+A word's vector is the mean of the vectors of its hashed character n-grams, of its longer beginnings and
+ends, and of itself; a linear softmax turns a mean of vectors into the chance of label 1. Embeddings and
+softmax are trained jointly in numpy. A document counts as toxic as the bag of its `TOP` worst words: first
+the mean of the whole document is trained, then the worst word of each toxic document against all words of
+the others. As misspelt words share most n-grams with the words seen in training, they share their vectors.
+The bag's logit becomes a chance by a logistic fit on a fifth of the training rows.
 
 Training takes at most `max_labelled` rows of each class, those with the smallest hashes of doc_id, and of
-each at most `MAX_WINDOWS` windows; it runs in one task over that bounded sample. Scoring takes whole texts,
+each at most `MAX_WORDS` words; it runs in one task over that bounded sample. Scoring takes whole texts,
 wherever Spark has dealt them: the model is one number per n-gram bucket.
 
-Defined cases: a null or empty text has no window and gets the chance of a window without words; rows
+Defined cases: a null or empty text has an empty bag and gets the chance of words that say nothing; rows
 with a null label, or one other than 0 and 1, teach nothing; labels that repeat or disagree all count; without
 labels of both kinds every score is 0.0; repeated rows are scored each; an empty table gives an empty
 result. Other columns are never inputs of a score.
@@ -20,8 +20,9 @@ result. Other columns are never inputs of a score.
 from __future__ import annotations
 
 import re
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -31,22 +32,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keylake.llm.common import stored, text_or_empty
+from keylake.llm.words import mixed, powers
 
 MAX_LABELLED = 2_500
-MAX_WINDOWS = 1024
+MAX_WORDS = 1024
 BUCKETS = 1 << 17
 DIM = 8
-WINDOW, STRIDE = 2, 1
-#: A shorter bag is filled up with empty words to this many.
-LEAST_WORDS = 2
+#: A document's score is of this many of its words, the worst; fewer are filled up with empty words.
+TOP = 2
 GRAMS = (3, 5)
+#: Lengths of the beginnings and ends of a marked word, beside its n-grams.
+EDGES = (6, 10)
 THRESHOLD = 0.7
 STEPS_MEAN, STEPS_WORST = 10, 70
 RATE, DECAY = 0.05, 1e-3
 #: In training, each step leaves out this share of every word's n-grams, so that no single one stands for the word.
 DROPPED = 0.5
-CACHED = 500_000
+#: Characters of words whose values a task keeps, and of texts scored at once.
+CACHED, AT_ONCE = 10_000_000, 500_000
 
+U = np.uint64
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -55,25 +60,54 @@ def plain(word: str) -> str:
     return _EDGE.sub("", word).lower()
 
 
-def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
-    marked = f"<{word}>"
-    out = [zlib.crc32(marked.encode("utf-8", "surrogatepass")) % buckets]
+def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' n-grams, edges and of themselves, and the number of the word each belongs to. Empty words have none."""
+    sizes = np.fromiter((len(w) + 2 if w else 0 for w in words), np.int64, len(words))
+    joined = "".join(f"<{w}>" for w in words if w)
+    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    # A stretch's hash comes from running sums of the characters times powers of an odd number.
+    up, down = powers(len(chars))
+    total = np.concatenate(([U(0)], np.cumsum(chars * up[: len(chars)], dtype=U)))
+    ends = np.cumsum(sizes)
+    word = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(chars))
+    left = ends[word] - place
+    found, owners = [], []
+
+    def add(start: np.ndarray, n) -> None:
+        h = mixed((total[start + n] - total[start]) * down[start] + (U(0) + n).astype(U))
+        found.append((h % U(buckets)).astype(np.int32))
+        owners.append(word[start].astype(np.int32))
+
+    some = np.flatnonzero(sizes)
+    first = ends[some] - sizes[some]
+    add(first, sizes[some])
     for n in range(GRAMS[0], GRAMS[1] + 1):
-        out += [zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % buckets for i in range(len(marked) - n + 1)]
-    return out
+        add(np.flatnonzero(left >= n), n)
+    for n in range(EDGES[0], EDGES[1] + 1):
+        long = sizes[some] > n
+        add(first[long], n)
+        add(ends[some][long] - n, n)
+    return np.concatenate(found), np.concatenate(owners)
 
 
-def window_bounds(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the windows over n words."""
-    start = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE) if n > WINDOW else np.zeros(min(n, 1), np.int64)
-    return start, np.minimum(start + WINDOW, n)
+def bag(values: np.ndarray) -> float:
+    """The mean of the TOP greatest word values."""
+    if len(values) > TOP:
+        values = np.partition(values, len(values) - TOP)[-TOP:]
+    return float(values.sum()) / TOP
 
 
-def window_logits(values: np.ndarray) -> np.ndarray:
-    """The means of the windows over a text's word values."""
-    start, end = window_bounds(len(values))
-    total = np.concatenate(([0.0], np.cumsum(values)))
-    return (total[end] - total[start]) / np.maximum(end - start, LEAST_WORDS)
+def _lots(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in turn, in lots of AT_ONCE characters or of one longer text."""
+    start = 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end] or "") <= AT_ONCE):
+            size += len(texts[end] or "")
+            end += 1
+        yield texts[start:end]
+        start = end
 
 
 @dataclass
@@ -85,76 +119,72 @@ class Model:
     slope: float
     offset: float
 
-    def word(self, word: str) -> float:
-        return float(self.values[subwords(word, len(self.values))].mean()) if word else 0.0
+    def of_words(self, words: list[str]) -> np.ndarray:
+        out = [np.zeros(0)]
+        for some in _lots(words):
+            flat, owner = subwords(some, len(self.values))
+            out.append(np.bincount(owner, self.values[flat], len(some)) / np.maximum(np.bincount(owner, minlength=len(some)), 1))
+        return np.concatenate(out)
 
-    def chance(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (worst + self.bias) + self.offset, -40, 40)))
+    def chance(self, bags: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * (bags + self.bias) + self.offset, -40, 40)))
 
 
 def train(texts: list[str], labels: np.ndarray, weights: tuple[float, float] = (1.0, 1.0), seed: int = 7) -> Model:
     """weights: how many rows of class 0 and 1 one row of the sample stands for."""
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
-    spans, doc = [], []
+    words, doc = [np.zeros(0, np.int32)], []
     for d, text in enumerate(texts):
         ids = np.array([index.setdefault(plain(w), len(index)) for w in text.split()], np.int32)
-        start, end = window_bounds(len(ids))
-        if len(start) > MAX_WINDOWS:
-            pick = np.sort(rng.choice(len(start), MAX_WINDOWS, replace=False))
-            start, end = start[pick], end[pick]
-        spans += [ids[a:b] for a, b in zip(start, end)]
-        doc += [d] * len(start)
-    doc = np.array(doc, np.int64)
-    sub = [subwords(w) if w else [] for w in index]
-    sizes = np.array([len(x) for x in sub], np.int64)
-    flat = np.fromiter((i for x in sub for i in x), np.int32, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(sub), dtype=np.int32), sizes)
-    words = np.concatenate([*spans, np.zeros(0, np.int32)])
-    lengths = np.array([len(s) for s in spans], np.int64)
-    window = np.repeat(np.arange(len(spans)), lengths)
-    share = 1 / np.maximum(lengths, LEAST_WORDS)
+        if len(ids) > MAX_WORDS:
+            ids = ids[np.sort(rng.choice(len(ids), MAX_WORDS, replace=False))]
+        words.append(ids)
+        doc += [d] * len(ids)
+    words, doc = np.concatenate(words), np.array(doc, np.int64)
+    flat, owner = subwords(list(index))
+    sizes = np.bincount(owner, minlength=len(index))
 
     fit = rng.random(len(texts)) < 0.8
     toxic = labels[doc] == 1
     used = fit[doc]
-    n_windows = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
-    # Embeddings and softmax, trained with Adam over all windows at once.
+    n_words = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
+    # Embeddings and softmax, trained with Adam over all words at once.
     params = [rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
 
     def logits(flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         by_bucket = params[0] @ (params[1][:, 1] - params[1][:, 0])
-        by_word = np.bincount(owner, by_bucket[flat], len(sub)) / np.maximum(sizes, 1)
-        return np.bincount(window, by_word[words], len(spans)) * share + params[2][1] - params[2][0]
+        by_word = np.bincount(owner, by_bucket[flat], len(index)) / np.maximum(sizes, 1)
+        return by_word[words] + params[2][1] - params[2][0]
 
     def worst_of(z: np.ndarray) -> np.ndarray:
-        """Each document's worst window, or -1."""
+        """Each document's worst word, or -1."""
         out = np.full(len(texts), -1)
         order = np.lexsort((z, doc))
         last = np.append(doc[order][1:] != doc[order][:-1], True) if len(order) else np.zeros(0, bool)
         out[doc[order[last]]] = order[last]
         return out
 
-    if len(spans):
+    if len(words):
         for step in range(STEPS_MEAN + STEPS_WORST):
             stay = rng.random(len(flat), np.float32) >= DROPPED
             flat_now, owner_now = flat[stay], owner[stay]
-            sizes_now = np.bincount(owner_now, minlength=len(sub))
+            sizes_now = np.bincount(owner_now, minlength=len(index))
             z = logits(flat_now, owner_now, sizes_now)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            part = np.zeros(len(spans))
+            part = np.zeros(len(words))
             if step < STEPS_MEAN:
-                part[used] = 1 / n_windows[doc[used]]
+                part[used] = 1 / n_words[doc[used]]
             else:
                 worst = worst_of(z)
-                part[used & ~toxic] = 0.5 / n_windows[doc[used & ~toxic]]
+                part[used & ~toxic] = 0.5 / n_words[doc[used & ~toxic]]
                 w = worst[fit & (worst >= 0)]
                 part[w] += 1.0
             for c in (toxic, ~toxic):
                 part[c] /= max(part[c].sum(), 1e-9)
             dz = (p - toxic) * part
-            per_word = np.bincount(words, (dz * share)[window], len(sub)) / np.maximum(sizes_now, 1)
+            per_word = np.bincount(words, dz, len(index)) / np.maximum(sizes_now, 1)
             g = np.bincount(flat_now, per_word[owner_now], BUCKETS)
             along = params[0].T @ g
             grads = [np.outer(g, params[1][:, 1] - params[1][:, 0]), np.stack([-along, along], 1), np.array([-dz.sum(), dz.sum()])]
@@ -165,12 +195,12 @@ def train(texts: list[str], labels: np.ndarray, weights: tuple[float, float] = (
                 rise = RATE * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.99 ** (step + 1))) + 1e-8)
                 params[k] -= rise + RATE * (DECAY if k < 2 else 0) * params[k]
     bias = float(params[2][1] - params[2][0])
-    z = logits(flat, owner, sizes)
-    worst = worst_of(z)
-    held = np.flatnonzero(~fit & (worst >= 0))
+    z = logits(flat, owner, sizes) - bias
+    bags = np.array([bag(z[a:b]) for a, b in pairwise(np.searchsorted(doc, np.arange(len(texts) + 1)))]) + bias
+    held = np.flatnonzero(~fit)
     if len(set(labels[held].tolist())) < 2:
-        held = np.flatnonzero(worst >= 0)
-    slope, offset = _logistic(z[worst[held]], labels[held], weights) if len(held) else (1.0, 0.0)
+        held = np.arange(len(texts))
+    slope, offset = _logistic(bags[held], labels[held], weights)
     values = params[0] @ (params[1][:, 1] - params[1][:, 0])
     seen = np.zeros(BUCKETS, bool)
     seen[flat] = True
@@ -228,19 +258,17 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     return row and Model(np.frombuffer(row["raw"], "<f4"), row["bias"], row["slope"], row["offset"])
 
 
-class _Values(dict):
-    """A word's value, computed once while it stays."""
-
-    def __init__(self, model: Model):
-        self.model = model
-
-    def __missing__(self, raw: str) -> float:
-        value = self.model.word(plain(raw))
-        if len(raw) <= 64:
-            if len(self) >= CACHED:
-                self.clear()
-            self[raw] = value
-        return value
+def _bags(model: Model, texts: list[str | None], known: dict[str, float]) -> Iterator[float]:
+    """Each text's bag of worst words; known keeps words' values between calls, under None the number of their characters."""
+    for some in _lots(texts):
+        split = [(text or "").split() for text in some]
+        new = list(set().union(*split).difference(known))
+        known.update(zip(new, model.of_words([plain(w) for w in new]).tolist()))
+        known[None] = known.get(None, 0) + sum(map(len, new))
+        for words in split:
+            yield bag(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
+        if known[None] > CACHED:
+            known.clear()
 
 
 def scored(documents: DataFrame, model: Model | None) -> DataFrame:
@@ -253,13 +281,10 @@ def scored(documents: DataFrame, model: Model | None) -> DataFrame:
     kinds = documents.schema
 
     def score(it):
-        values = _Values(model)
+        known: dict[str, float] = {}
         for b in it:
-            worst = []
-            for text in b.column(text_at).cast(pa.string()).to_pylist():
-                z = window_logits(np.array([values[w] for w in (text or "").split()]))
-                worst.append(z.max() if len(z) else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.chance(np.array(worst, np.float64)), pa.float64())], names=[*names, added])
+            bags = np.fromiter(_bags(model, b.column(text_at).cast(pa.string()).to_pylist(), known), np.float64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.chance(bags), pa.float64())], names=[*names, added])
 
     return documents.mapInArrow(score, T.StructType([*kinds.fields, T.StructField(added, T.DoubleType())]))
 

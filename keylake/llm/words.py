@@ -28,15 +28,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mixed(np.arange(1, 257, dtype=U) * U(BASE))
-_powers: list[np.ndarray] = []
+_known_powers: list[np.ndarray] = []
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and INVERSE**i for i up to n."""
-    if not _powers or len(_powers[0]) <= n:
+    if not _known_powers or len(_known_powers[0]) <= n:
         size = max(n, PIECE) + 1
-        _powers[:] = [np.multiply.accumulate(np.concatenate(([U(1)], np.full(size, x, U)))) for x in (BASE, INVERSE)]
-    return _powers[0], _powers[1]
+        _known_powers[:] = [np.multiply.accumulate(np.concatenate(([U(1)], np.full(size, x, U)))) for x in (BASE, INVERSE)]
+    return _known_powers[0], _known_powers[1]
 
 
 def _piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +44,7 @@ def _piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    up, down = _power(len(data))
+    up, down = powers(len(data))
     total = np.zeros(len(data) + 1, U)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
     return start, mixed((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0xD1342543DE82EF95))
