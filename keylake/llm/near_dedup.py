@@ -8,14 +8,18 @@ and the earliest per coordinate is the signature: two texts agree at a coordinat
 their weighted Jaccard similarity. Texts with a coordinate not hit throw on to a higher rank.
 
 Signatures are cut into bands, and texts with an equal band are candidates. Equal texts are one node from the
-start. In each bucket all nodes are held against one hub, the node with the most bucket mates. A bucket that
-then still holds different components is settled by all pairs of them if it is small. A large one is split
-further, without loss: if y isn't linked to hub c, then a link of y and z needs a shingle outside c that both
-have, unless z is so much smaller than c that they may lack the same shingles of c instead (see `split`). So
-buckets by (hub, shared difference) hold every pair that can be linked, and take the next round. A group of
-any size costs a few comparisons a node, and no candidate pair of different components stays unchecked. A
-pair is linked if the weighted Jaccard similarity of its shingles, compared by 40-bit hashes, is `near` or
-more. Classes are the connected components, grown by label propagation.
+start. Each bucket's nodes are first held against one node of it, and then, where a bucket still has nodes
+of different components, against a hub that overlapping buckets share, and against the node next to the centre of
+the hub's group. What these leave open is settled without loss by what nodes add to the centre's shingles and lack
+of them (see `postings`): two nodes not linked yet can only be linked if they share enough of these differences, so
+only the rarest of them are indexed, and a pair comes up only where its places in both lists leave room for enough. A group of any size costs a few
+comparisons a node, and no candidate pair of different components stays unchecked. A pair is linked if
+the weighted Jaccard similarity of its shingles, compared by 40-bit hashes, is `near` or more. Classes are the
+connected components, grown by label propagation over what is not merged yet.
+
+Hot hubs: the shingles of a hub with many nodes are repeated for every `SLOT_NODES` of them, so its comparisons
+are dealt over many tasks; differences are dealt by (hub, shingle) or (hub, node); joins on labels are
+plain exchanges of stored tables, which Spark's adaptive execution splits where one key is hot.
 
 Defined cases: a text of fewer words than a shingle is one shingle of all its words; null, empty and blank
 texts are equal; texts that differ in ASCII white space alone are equal; rows with a null doc_id take part
@@ -30,6 +34,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keylake.llm.common import NEAR, WORDS_PER_SHINGLE, batch_of, stored, text_or_empty
@@ -38,12 +43,8 @@ from keylake.llm.words import groups, mixed, shingle_hashes, word_hashes
 COORDINATES = 128
 BANDS = 32
 DARTS = 1200
-#: A table of at most this many pairs or edges is sent to all tasks; a larger one is joined by exchange.
-FEW = 50_000
-#: A bucket of at most this many nodes is settled by pairs.
-SMALL = 16
-#: If all buckets together have at most this many pairs, they all are.
-EASY = 100_000
+#: So many nodes share one copy of their hub's shingles.
+SLOT_NODES = 512
 
 U = np.uint64
 #: Rank cells below 1; from there on cells have length 1.
@@ -201,7 +202,7 @@ def _unit_hashes(raw: bytes) -> np.ndarray:
 
 
 def shingled(rows: DataFrame, width: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """node and units of rows (of keyed)."""
+    """node, units and their number, of rows (of keyed)."""
 
     def cut(it):
         for b in it:
@@ -211,16 +212,16 @@ def shingled(rows: DataFrame, width: int = WORDS_PER_SHINGLE) -> DataFrame:
                 words, counts = word_hashes(texts[g])
                 nodes.append(_nodes(words, counts))
                 units += _units(words, counts, width)
-            yield batch_of({"node": (pa.array(np.concatenate(nodes).view(np.int64)), None), "units": (units, pa.binary())})
+            size = [len(u) // 5 for u in units]
+            yield batch_of({"node": (pa.array(np.concatenate(nodes).view(np.int64)), None), "units": (units, pa.binary()), "size": (size, pa.int64())})
 
-    return rows.mapInArrow(cut, "node long, units binary")
+    return rows.mapInArrow(cut, "node long, units binary, size long")
 
 
 def linked(pairs: DataFrame, shingles: DataFrame, near: float = NEAR) -> DataFrame:
-    """The pairs (a, b), stored, whose similarity is near or more. shingles: node, units, one row a node."""
-    some = (lambda df: F.broadcast(df)) if pairs.count() <= FEW else (lambda df: df)
+    """The pairs (a, b), stored, whose similarity is near or more. shingles: node, units, size, one row a node."""
     s = shingles.alias("s")
-    with_a = some(pairs).join(s, F.col("a") == F.col("s.node")).select("a", "b", F.col("s.units").alias("ua"))
+    with_a = pairs.join(s, F.col("a") == F.col("s.node")).select("a", "b", F.col("s.units").alias("ua"))
     both = with_a.join(s, F.col("b") == F.col("s.node")).select("a", "b", "ua", F.col("s.units").alias("ub"))
 
     def check(it):
@@ -242,23 +243,127 @@ def linked(pairs: DataFrame, shingles: DataFrame, near: float = NEAR) -> DataFra
     return both.mapInArrow(check, "a long, b long")
 
 
-def differences(pairs: DataFrame, shingles: DataFrame, near: float = NEAR) -> DataFrame:
-    """Of pairs (node, hub): how far the node is from being linked (`excess`, positive if it isn't), how much smaller than the hub it is, what it adds and what it lacks."""
-    of_node, of_hub = (shingles.select(F.col("node").alias(n), F.col("units").alias(u)) for n, u in (("node", "ua"), ("hub", "ub")))
-    both = pairs.join(of_node, "node").join(of_hub, "hub").select("node", "hub", "ua", "ub")
+DIFFERENCES = "node long, hub long, slot int, slots int, hub_size long, added array<long>, lacks array<long>"
+
+
+def differences(groups: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Of groups (hub, node; hubs are nodes of their groups): what the node adds to the hub's units and lacks of them. A hub has `slots`, each for about SLOT_NODES of its nodes."""
+    of_group = stored(groups.groupBy("hub").agg((F.floor(F.count("*") / SLOT_NODES) + 1).cast("int").alias("slots")))
+    slotted = groups.join(of_group, "hub").select("hub", "node", "slots", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int").alias("slot"))
+    hubs = of_group.join(shingles.select(F.col("node").alias("hub"), F.col("units").alias("uc")), "hub")
+    both = by_hub(slotted.join(shingles.select("node", "units"), "node"), hubs).select("node", "hub", "slot", "slots", "units", "uc")
 
     def compare(it):
         for batch in it:
-            out: list[list] = [[], [], [], [], [], []]
-            for node, hub, ra, rb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                a, c = _unit_hashes(ra), _unit_hashes(rb)
+            out: list[list] = [[], [], []]
+            for ra, rc in zip(batch.column("units").to_pylist(), batch.column("uc").to_pylist(), strict=True):
+                a, c = _unit_hashes(ra), _unit_hashes(rc)
                 added, lacks = np.setdiff1d(a, c, assume_unique=True), np.setdiff1d(c, a, assume_unique=True)
-                for x, v in zip(out, (node, hub, len(lacks) + near * len(added) - (1 - near) * len(c), len(c) - len(a), added.view(np.int64), lacks.view(np.int64))):
+                for x, v in zip(out, (len(c), added.view(np.int64), lacks.view(np.int64)), strict=True):
                     x.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["node", "hub", "excess", "smaller", "added", "lacks"])
+            yield batch_of({n: (batch.column(n), None) for n in ("node", "hub", "slot", "slots")} | {"hub_size": (out[0], pa.int64()), "added": (out[1], pa.list_(pa.int64())), "lacks": (out[2], pa.list_(pa.int64()))})
+
+    return both.mapInArrow(compare, DIFFERENCES)
+
+
+def by_hub(rows: DataFrame, of_hub: DataFrame) -> DataFrame:
+    """rows (hub, slot, ...) joined with of_hub (hub, slots, ...), whose rows are repeated for each slot: a hub's nodes are dealt over its slots."""
+    return rows.join(of_hub.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots"), ["hub", "slot"])
 
-    return both.mapInArrow(compare, "node long, hub long, excess double, smaller long, added array<long>, lacks array<long>")
+
+def is_linked(near: float = NEAR):
+    """Whether a row of differences is near its hub."""
+    common = F.col("hub_size") - F.size("lacks")
+    return common >= near * (F.col("hub_size") + F.size("added"))
+
+
+def centred(d: DataFrame, near: float = NEAR) -> DataFrame:
+    """Differences from the group's centre instead of its hub: the centre has the units that more than half of the group have.
+
+    Each row gets n_added, n_lacks, delta (how much larger than the centre it is), cost (n_lacks + near * n_added), and excess:
+    cost less the cost at which a text is as near as `near` to the centre.
+    """
+    n = d.groupBy("hub").agg(F.count("*").alias("n"), F.max("slots").alias("slots"))
+    each = d.select("hub", F.lit("+").alias("kind"), F.explode("added").alias("unit")).unionByName(d.select("hub", F.lit("-").alias("kind"), F.explode("lacks").alias("unit")))
+    often = each.groupBy("hub", "kind", "unit").agg(F.count("*").alias("seen")).join(n.select("hub", "n"), "hub").filter("2 * seen > n")
+    # At most twice what a node of the group differs by on average.
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("unit")))
+    none = F.array().cast("array<long>")
+    flips = n.join(often.groupBy("hub").agg(of("+").alias("in_"), of("-").alias("out_")), "hub", "left").select("hub", "slots", F.coalesce("in_", none).alias("in_"), F.coalesce("out_", none).alias("out_"))
+    new = lambda mine, gone, other, back: F.concat(F.array_except(mine, gone), F.array_except(back, other))
+    rows = by_hub(d, flips).select("hub", "slot", "slots", "node", (F.col("hub_size") + F.size("in_") - F.size("out_")).alias("size"), new("added", "in_", "lacks", "out_").alias("added"), new("lacks", "out_", "added", "in_").alias("lacks"))
+    rows = rows.withColumns({"n_added": F.size("added"), "n_lacks": F.size("lacks")})
+    rows = rows.withColumns({"delta": F.col("n_added") - F.col("n_lacks"), "cost": F.col("n_lacks") + near * F.col("n_added")})
+    return rows.withColumn("excess", F.col("cost") - (1 - near) * F.col("size"))
+
+
+def _up(x):
+    """The integer at x or above, forgiving the rounding of floats."""
+    return F.ceil(x - 1e-6)
+
+
+def postings(rows: DataFrame, of_hub: DataFrame, labels: DataFrame, near: float = NEAR) -> DataFrame:
+    """The differences by which nodes of different labels can be linked: hub, kind, unit, node, label, and what `candidates` asks of them.
+
+    rows: of centred; of_hub: hub, slots, least (the smallest cost of the group), most (how much smaller than
+    the centre its smallest node is), and the label of the node with the smallest cost, with which all others have been compared.
+
+    Let y lack A of the units of the group's centre c and add B, z lack A' and add B', and let them share r of what they
+    lack and s of what they add. With E = A + near B, E' alike, they are linked if and only if
+
+        (1 + near) (r + s) >= E + E' - (1 - near) |c|.
+
+    With the excess x = E - (1 - near) |c| and r <= A' and r <= A, that needs (1 + near) s >= x + near (B' - A') and
+    (1 + near) s >= x' + near (B - A). So either s is at least 1 and that much (kind +), or s is 0, neither of the two
+    bounds is positive, and r is (x + E') / (1 + near) or more (kind -). It can't be that r and s are 0: one of the two isn't
+    linked to the node of least cost, but would be, as E + least <= E + E' <= (1 - near) |c|. That one, y, asks; x > -least.
+    An overlap of k or more with a list of n shows among its n - k + 1 rarest units: only these are kept, with their
+    places in the list. Units that only one label has come first in every list, and aren't rows.
+    """
+    at_hub = by_hub(rows, of_hub).join(labels, "node").withColumn("asks", F.col("label") != F.col("centre_label"))
+    bound = F.col("excess") - near * F.greatest("most", F.lit(0))
+    at_hub = at_hub.withColumn("minus_asks", F.col("asks") & (bound <= 1e-6)).withColumn("minus_asked", near * F.col("delta") <= F.col("least") + 1e-6)
+    need = lambda x: F.greatest(F.lit(1), _up(x)).cast("int")
+    same = ["hub", "node", "label", "delta", "cost", "excess"]
+    # Least overlaps, as far as one node tells: of the one that asks, and of the one that is asked.
+    plus = at_hub.select(*same, F.col("asks").alias("loose"), "asks", F.lit(True).alias("asked"), F.lit("+").alias("kind"), F.col("n_added").alias("n"), need(bound / (1 + near)).alias("ask_need"), need((near * F.col("delta") - F.col("least")) / (1 + near)).alias("asked_need"), F.explode("added").alias("unit"))
+    minus = at_hub.filter("minus_asks or minus_asked").select(*same, F.col("asks").alias("loose"), F.col("minus_asks").alias("asks"), F.col("minus_asked").alias("asked"), F.lit("-").alias("kind"), F.col("n_lacks").alias("n"), need((F.col("excess") + F.greatest(F.col("least"), F.col("excess") / near)) / (1 + near)).alias("ask_need"), need((F.col("cost") - F.col("least")) / (1 + near)).alias("asked_need"), F.explode("lacks").alias("unit"))
+    every = plus.unionByName(minus)
+    key = ["hub", "kind", "unit"]
+    seen = every.groupBy(*key).agg(F.count("*").alias("seen"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("asks").alias("some")).filter("x <> y and some").select(*key, "seen")
+    kept = every.join(seen, key)
+    own = W.partitionBy("hub", "node", "kind")  # at most a text's shingles
+    at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("seen", "unit")) - 1
+    kept = kept.withColumn("left", F.col("n") - at)
+    kept = kept.withColumns({"asks": F.col("asks") & (F.col("left") >= F.col("ask_need")), "asked": F.col("asked") & (F.col("left") >= F.col("asked_need"))})
+    return kept.filter("asks or asked").select(*key, "node", "label", *ROLES)
+
+
+#: What candidates need to know of a node.
+ROLES = ["delta", "cost", "excess", "left", "loose", "asks", "asked"]
+
+
+def candidates(rows: DataFrame, others: DataFrame, near: float = NEAR) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels, one from each of two tables of postings, that can be linked as far as lists and places tell."""
+    y, z = rows.alias("y"), others.alias("z")
+    of = lambda c: (F.col(f"y.{c}"), F.col(f"z.{c}"))
+    (dy, dz), (xy, xz), (ly, lz), (n, m) = of("delta"), of("excess"), of("left"), of("node")
+    by_added = F.greatest(xy + near * dz, xz + near * dy)
+    by_kind = F.when(F.col("y.kind") == "+", by_added).otherwise(xy + F.col("z.cost"))
+    fits = (F.col("y.kind") == "+") | (by_added <= 1e-6)
+    same = (F.col("y.hub") == F.col("z.hub")) & (F.col("y.kind") == F.col("z.kind")) & (F.col("y.unit") == F.col("z.unit"))
+    # Of two that could ask the one with the greater excess does.
+    first = F.col("y.asks") & F.col("z.asked") & (~F.col("z.loose") | (xy > xz) | ((xy == xz) & (n > m)))
+    enough = F.least(ly, lz) >= F.greatest(F.lit(1), _up(by_kind / (1 + near)))
+    met = y.join(z, same & (F.col("y.label") != F.col("z.label")) & first & fits & enough)
+    return met.select(F.greatest(n, m).alias("a"), F.least(n, m).alias("b")).distinct()
+
+
+def stars(rows: DataFrame, near: float = NEAR) -> DataFrame:
+    """Candidates of each posting list's nodes with the one of least excess: families of many nodes, far from their hub, are linked by it."""
+    key = ["hub", "kind", "unit"]
+    centre = rows.groupBy(*key).agg(F.min_by(F.struct("node", "label", *ROLES), F.struct("excess", "node")).alias("c")).select(*key, "c.*")
+    return candidates(rows, centre, near)
 
 
 def _hubs(buckets: DataFrame) -> DataFrame:
@@ -273,36 +378,6 @@ def _far_hubs(buckets: DataFrame) -> DataFrame:
     return buckets.select("key", "node").join(best, "node").groupBy("key").agg(F.max("h").alias("h")).select("key", F.col("h.node").alias("hub"))
 
 
-def split(buckets: DataFrame, shingles: DataFrame, near: float = NEAR) -> DataFrame:
-    """Smaller buckets (key, node, w, label) that hold every pair of different labels of these that can be linked and isn't tested.
-
-    Let y and z share a bucket with hub c, y lack A of c's shingles and add B, z lack A' and add B', and let them share
-    r of what they lack and s of what they add. Their similarity is near or more if and only if
-    (1 + near) (r + s) >= excess(y) + A' + near B', where excess(y) = A + near B - (1 - near) |c| is positive
-    as y isn't linked to c. As r <= A', that needs (1 + near) s >= excess(y) - near (A' - B'), and A' - B' = |c| - |z|.
-    So either s > 0, and y shares so many of its additions with nodes of other labels, or excess(y) <= near (|c| - |z|)
-    and r > 0. Only buckets with such a y are kept, and of buckets with the same nodes one.
-    """
-    rows = stored(buckets.join(_far_hubs(buckets), "key").filter("node <> hub").select("node", "hub", "w", "label").distinct())
-    d = stored(differences(rows.select("node", "hub"), shingles, near).join(rows, ["node", "hub"]))
-    reach = d.groupBy("hub").agg(F.max("smaller").alias("most"), F.max("excess").alias("far")).filter("far > -1e-9")
-    d = d.join(reach, "hub")
-    open_ = F.col("excess") > -1e-9
-    need = F.greatest(F.lit(1), F.ceil((F.col("excess") - near * F.greatest("most", F.lit(0))) / (1 + near) - 1e-9))
-    added = d.select("hub", "node", "label", open_.alias("open"), need.alias("need"), F.explode("added").alias("unit"))
-    added = added.join(added.groupBy("hub", "unit").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("hub", "unit"), ["hub", "unit"])
-    askers = added.filter("open").groupBy("hub", "node", "need").agg(F.count("*").alias("n")).filter("n >= need").select("hub", "node", F.lit(True).alias("asker"))
-    plus = added.join(askers, ["hub", "node"], "left").select(F.xxhash64(F.lit("+"), "hub", "unit").alias("key"), "node", F.coalesce("asker", F.lit(False)).alias("asks"))
-    asks = open_ & (F.col("excess") <= near * F.col("most") + 1e-9)
-    minus = d.filter((F.col("smaller") > 0) | asks).select("node", "hub", asks.alias("asks"), F.explode("lacks").alias("unit")).select(F.xxhash64(F.lit("-"), "hub", "unit").alias("key"), "node", "asks")
-    keys = stored(plus.unionByName(minus))
-    wanted = keys.groupBy("key").agg(F.max("asks").alias("asked"), F.count("*").alias("n")).filter("asked and n > 1").select("key")
-    of_node = buckets.select("node", "w", "label").distinct()
-    kept = collapsed(keys.select("key", "node").join(wanted, "key", "left_semi"))
-    out = stored(kept.join(of_node, "node"))
-    return out.join(_mixed(out), "key", "left_semi")
-
-
 def collapsed(buckets: DataFrame) -> DataFrame:
     """Of buckets (key, node) with the same nodes one, named by its nodes."""
     h = F.xxhash64("node")
@@ -330,11 +405,47 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _pairs(buckets: DataFrame) -> float:
-    return buckets.agg(F.sum((F.col("n") - 1) / 2)).first()[0] or 0
-
-
-def near_classes(documents: DataFrame, near: float = NEAR, bands: int = BANDS, coordinates: int = COORDINATES, width: int = WORDS_PER_SHINGLE, small: int = SMALL, easy: int = EASY) -> DataFrame:
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) whose nodes have different labels, with these as x and y."""
+    a, b = (labels.select(F.col("node").alias(n), F.col("label").alias(m)) for n, m in (("a", "x"), ("b", "y")))
+    return pairs.distinct().join(a, "a").join(b, "b").filter("x <> y")
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, label), stored, after new edges (a, b): only edges between different labels are looked at."""
+    between = stored(apart(edges, labels).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    if between.isEmpty():
+        return labels
+    of_label = components(between).withColumnRenamed("node", "was").withColumnRenamed("label", "now")
+    return stored(labels.join(of_label, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label")))
+
+
+def classes_of(buckets: DataFrame, shingles: DataFrame, near: float = NEAR) -> DataFrame:
+    """node and label: components of the links among nodes that share a bucket. buckets: key, node, w (how many mates, for the choice of hubs)."""
+    labels = stored(buckets.select("node", F.col("node").alias("label")).distinct())
+    around = buckets.join(_hubs(buckets), "key").filter("node <> hub")
+    pairs = stored(around.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
+    labels = merged(labels, linked(pairs, shingles, near))
+    known = buckets.join(labels, "node")
+    left = stored(known.join(_mixed(known), "key", "left_semi").select("key", "node", "w"))
+    if left.isEmpty():
+        return labels
+    hubs = _far_hubs(left)
+    groups = left.join(hubs, "key").select("hub", "node").unionByName(hubs.select("hub", F.col("hub").alias("node")))
+    d = stored(differences(stored(groups.distinct()), shingles))
+    labels = merged(labels, d.filter(is_linked(near) & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    rows = stored(centred(d, near))
+    of_hub = stored(rows.groupBy("hub").agg(F.max("slots").alias("slots"), F.min("cost").alias("least"), F.max(-F.col("delta")).alias("most"), F.min_by("node", F.struct("cost", "node")).alias("centre")))
+    near_centre = by_hub(rows.select("hub", "slot", "node"), of_hub.select("hub", "slots", "centre")).select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
+    labels = merged(labels, linked(stored(apart(near_centre, labels)), shingles, near))
+    of_hub = of_hub.join(labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label")), "centre").drop("centre")
+    found = stored(postings(rows.drop("slots"), of_hub, labels, near))
+    labels = merged(labels, linked(stored(stars(found, near)), shingles, near))
+    found = stored(found.drop("label").join(labels, "node"))
+    return merged(labels, linked(stored(candidates(found, found, near)), shingles, near))
+
+
+def near_classes(documents: DataFrame, near: float = NEAR, bands: int = BANDS, coordinates: int = COORDINATES, width: int = WORDS_PER_SHINGLE) -> DataFrame:
     """doc_id, t (xxhash64 of the text), class_id, class_t: of the document that stands for the class."""
     rows = keyed(documents)
     prints = stored(signed(rows, bands, coordinates, width))
@@ -347,40 +458,9 @@ def near_classes(documents: DataFrame, near: float = NEAR, bands: int = BANDS, c
     buckets = stored(collapsed(buckets.select("key", "node")).join(weights, "node"))
     firsts = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("first.doc_id").alias("i"), F.col("first.t").alias("u"))
     texts = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u")), "left_semi")
-    shingles = stored(shingled(texts, width).groupBy("node").agg(F.first("units").alias("units")))
-
-    empty = rows.sparkSession.createDataFrame([], "a long, b long")
-    edges = tested = empty
+    shingles = stored(shingled(texts, width).groupBy("node").agg(F.first("units").alias("units"), F.first("size").alias("size")))
 
-    def test(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        return stored(edges.unionByName(linked(new, shingles, near))), tested.unionByName(new)
-
-    while True:
-        hubs = _hubs(buckets).unionByName(_far_hubs(buckets))
-        around = buckets.join(hubs, "key").filter("node <> hub")
-        edges, tested = test(around.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")))
-        labels = components(edges)
-        known = buckets.select("key", "node", "w").join(labels, "node", "left").select("key", "node", "w", F.coalesce("label", "node").alias("label"))
-        left = known.join(_mixed(known), "key", "left_semi")
-        left = stored(left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key"))
-        pairs = _pairs(left)
-        if pairs == 0:
-            break
-        by_pairs, smaller = F.lit(True), None
-        if pairs > easy:
-            smaller = stored(split(left.filter(F.col("n") > small).drop("n"), shingles, near).drop("label"))
-            if 2 * _pairs(smaller.join(smaller.groupBy("key").agg(F.count("*").alias("n")), "key")) <= pairs:
-                by_pairs = F.col("n") <= small
-            else:  # splitting doesn't help these buckets
-                smaller = None
-        few = left.filter(by_pairs).select("key", "node", "label")
-        other = few.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-        edges, tested = test(few.join(other, "key").filter("node > b and label <> other").select(F.col("node").alias("a"), "b"))
-        if smaller is None:
-            break
-        buckets = smaller
-    labels = components(edges)
+    labels = classes_of(buckets, shingles, near)
     member = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     heads = member.groupBy("label").agg(F.min("first").alias("head"))
     class_of = member.join(heads, "label").select("node", F.col("head.doc_id").alias("class_id"), F.col("head.t").alias("class_t"))
