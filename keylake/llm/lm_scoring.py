@@ -8,12 +8,18 @@ so that no document vouches for itself. Scores are sums of logarithms over a doc
 The work is relational at the grain of blocks: documents are dealt to blocks of about `block_bytes` by a
 hash; a block is exploded into its distinct n-gram hashes with counts, dealt out by ranges of the
 hash ("parts"). Each part adds up its own slice of the count table and joins it to the n-grams that
-the blocks asked for; the totals return to the blocks, where they are summed per document. A hot
-word or word pair is one row a block. No part or block grows with the corpus, only their numbers do,
-and the rows exchanged are never more than the distinct n-grams of the blocks.
+the blocks asked for; the totals return to the blocks, where they are summed per document. Rows of
+single n-grams would need about three times the shuffle, so a row holds a block's n-grams of one range.
+
+A block asks at most `fan` ranges. If more parts than that are needed (beyond some 32 GB), the counts of
+`fan` blocks are added up by range first, and each sum asks `fan` narrower ranges, and so on; totals
+return the same way. So the rows exchanged are at most `fan` for each block and level, and grow with the
+corpus, not with its square; a level more repeats the exchange of counts. A hot word or word pair is
+one entry a block. No part or block grows with the corpus, only their numbers do.
 
 Defined cases: words are runs of bytes other than ASCII white space, as written; a null or empty text has
-no words and scores 0.0 with a mean of null; repeated rows are documents of their own, each scored;
+no words and scores 0.0 with a mean of null; repeated rows are documents of their own, each scored, and
+a row repeated very often is dealt to a block by each partition of the input;
 an empty table gives an empty result; n-grams are compared by 64-bit hashes; other columns are ignored.
 """
 
@@ -33,13 +39,15 @@ BLOCK_BYTES = 8 << 20
 PART_GRAMS = 1 << 21
 #: Of a text's bytes, so many make up one n-gram of all orders: for the number of parts.
 BYTES_PER_GRAM = 2
+#: Ranges that a block asks: about 500 n-grams in each.
+FAN = 8192
 
 #: Texts gathered in a task before they are dealt out.
 GATHER_BYTES = 16 << 20
 
 BLOCKS = "block int, doc_ids array<long>, sizes binary, texts binary"
-COUNTS = "block int, part int, n long, grams binary, counts binary"
-TOTALS = "block int, part int, totals binary"
+COUNTS = "block int, part long, n long, grams binary, counts binary"
+TOTALS = "block int, part long, totals binary"
 SCORES = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, n_unknown long, log_score double"
 
 
@@ -79,7 +87,7 @@ def unpacked_grams(raw: bytes) -> np.ndarray:
 def gathered(documents: DataFrame, blocks: int) -> DataFrame:
     """A block's documents in compressed lots: what a task has gathered of it in GATHER_BYTES of texts."""
     text = text_or_empty()
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("int").alias("block"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64("doc_id", text, F.spark_partition_id()), F.lit(blocks)).cast("int").alias("block"))
 
     def gather(it):
         lots: dict[int, tuple[list, list]] = {}
@@ -122,17 +130,66 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _asked(parts: int, order: int):
+def _cut(block: int, hashes: np.ndarray, counts: np.ndarray, first: int, last: int, ranges: int) -> pa.Table:
+    """Rows of a block's sorted n-grams, one for each of the ranges from first to last that has any."""
+    edges = np.searchsorted(part_of(hashes, ranges), np.arange(first, last + 1))
+    rows = [(block, first + p, b - a, packed_grams(hashes[a:b]), _zip_counts(counts[a:b])) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
+    cols = list(zip(*rows)) or [[]] * 5
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in COUNTS.split(", ")])
+
+
+def asked(rows: DataFrame, ranges: int, order: int = ORDER) -> DataFrame:
+    """What the blocks (of gathered) have: COUNTS, a row for each block and range."""
+
     def ask(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
         hashes, counts = Grams(_bytes(table), order).distinct()
-        edges = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1))
-        rows = [(block, p, b - a, packed_grams(hashes[a:b]), _zip_counts(counts[a:b])) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
-        cols = list(zip(*rows)) or [[]] * 5
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in COUNTS.split(", ")])
+        return _cut(table.column("block")[0].as_py(), hashes, counts, 0, ranges, ranges)
+
+    return rows.groupBy("block").applyInArrow(ask, COUNTS)
+
+
+def _union(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The n-grams of each row, and of all rows together with their counts added up."""
+    each = [unpacked_grams(x) for x in table.column("grams").to_pylist()]
+    every, at = np.unique(np.concatenate(each), return_inverse=True)
+    counts = np.concatenate([_unzip_counts(x) for x in table.column("counts").to_pylist()])
+    return each, every, np.bincount(at, counts, len(every)).astype(np.int64)
+
+
+def narrowed(rows: DataFrame, ranges: int, split: int) -> DataFrame:
+    """COUNTS with the column up: rows of one range and `up` added up, and cut into `split` narrower ranges."""
+
+    def add(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        _, hashes, counts = _union(table)
+        return _cut(table.column("up")[0].as_py(), hashes, counts, part * split, (part + 1) * split, ranges * split)
+
+    return rows.groupBy("up", "part").applyInArrow(add, COUNTS)
+
+
+def _returned(own: pa.Table, totals: pa.Table) -> pa.Table:
+    """Totals of the narrower ranges, given back to the rows that asked."""
+    each, every, _ = _union(own)
+    parts = sorted(zip(totals.column("part").to_pylist(), totals.column("totals").to_pylist()))
+    found = np.concatenate([_unzip_counts(x) for _, x in parts])
+    blobs = [_zip_counts(found[np.searchsorted(every, g)]) for g in each]
+    return pa.Table.from_arrays([own.column("block"), own.column("part"), pa.array(blobs, pa.binary())], names=["block", "part", "totals"])
+
+
+def totals_of(rows: DataFrame, ranges: int, parts: int, fan: int = FAN) -> DataFrame:
+    """TOTALS over the corpus for each row of COUNTS, which are cut into `ranges`; sums are made in `parts` ranges at least."""
+    if ranges >= parts:
+        return rows.groupBy("part").applyInArrow(_added, TOTALS)
+    split = min(fan, -(-parts // ranges))
+    rows = rows.withColumn("up", F.floor(F.col("block") / fan).cast("int"))
+    totals = totals_of(narrowed(rows, ranges, split), ranges * split, parts, fan)
+    totals = totals.select(F.col("block").alias("up"), F.floor(F.col("part") / split).cast("long").alias("part"), F.col("part").alias("narrow"), "totals")
+
+    def back(own: pa.Table, found: pa.Table) -> pa.Table:
+        return _returned(own, pa.table({"part": found.column("narrow"), "totals": found.column("totals")}))
 
-    return ask
+    return rows.groupBy("up", "part").cogroup(totals.groupBy("up", "part")).applyInArrow(back, TOTALS)
 
 
 def _bytes(table: pa.Table) -> list[bytes]:
@@ -222,14 +279,14 @@ def _scored(corpus_words: int, order: int, backoff: float):
     return score
 
 
-def lm_scores(documents: DataFrame, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, part_grams: int = PART_GRAMS) -> DataFrame:
+def lm_scores(documents: DataFrame, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, part_grams: int = PART_GRAMS, fan: int = FAN) -> DataFrame:
     """doc_id, n_words, words scored as trigram, bigram, unigram or unknown, log_score (sum) and mean_log_score of each document."""
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("words")).first()
     blocks = max(1, -(-size["bytes"] // block_bytes))
     parts = max(1, -(-size["bytes"] // (BYTES_PER_GRAM * part_grams)))
     rows = gathered(documents, blocks)
-    asked = rows.groupBy("block").applyInArrow(_asked(parts, ORDER), COUNTS)
-    totals = asked.groupBy("part").applyInArrow(_added, TOTALS)
+    ranges = min(parts, fan)
+    totals = totals_of(asked(rows, ranges), ranges, parts, fan)
     out = rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scored(size["words"], ORDER, backoff), SCORES)
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 

@@ -5,6 +5,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keylake.llm import fingerprint, line_dedup, lm_scoring, near_dedup, packing, piece_encoding, quality_rules, queries, toxicity, url_filter, warc
 from keylake.llm.common import table
@@ -43,11 +44,30 @@ def test_lm_scores_of_odd_rows(spark, odd, none):
     assert lm_scoring.op1(spark, none).count() == 0
 
 
-def test_lm_scores_dont_depend_on_blocks(spark):
+def test_lm_scores_dont_depend_on_blocks_or_levels(spark):
     docs = table(spark, SF, "documents")
-    a, b = lm_scoring.lm_scores(docs), lm_scoring.lm_scores(docs, block_bytes=1 << 15, part_grams=1 << 14)
     key = lambda df: {r.doc_id: (r.n_trigram, r.n_bigram, r.n_unigram, round(r.log_score, 4)) for r in df.collect()}
-    assert key(a) == key(b)
+    want = key(lm_scoring.lm_scores(docs))
+    assert key(lm_scoring.lm_scores(docs, block_bytes=1 << 15, part_grams=1 << 14)) == want
+    assert key(lm_scoring.lm_scores(docs, block_bytes=1 << 16, part_grams=1 << 11, fan=4)) == want  # three levels of sums
+
+
+def test_lm_exchange_grows_with_the_corpus(spark):
+    docs = table(spark, SF, "documents")
+    rows = []
+    for times in (1, 2, 4):
+        blocks, parts, fan = 10 * times, 40 * times, 40
+        more = docs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("doc_id", F.col("k") * 10**6 + F.col("doc_id"))
+        counts = lm_scoring.asked(lm_scoring.gathered(more, blocks), min(parts, fan)).cache()
+        up = counts.withColumn("up", F.floor(F.col("block") / fan).cast("int"))
+        rows.append((counts.count(), lm_scoring.narrowed(up, fan, -(-parts // fan)).count()))
+    assert rows[2][0] <= 4.2 * rows[0][0] and rows[2][1] <= 4.2 * rows[0][1]
+
+
+def test_a_repeated_row_is_dealt_to_several_blocks(spark):
+    docs = spark.range(400).selectExpr("1L AS doc_id", "'the same text again' AS text").repartition(8)
+    assert lm_scoring.gathered(docs, 100).select("block").distinct().count() > 4
+    assert {(r.n_words, r.n_trigram) for r in lm_scoring.lm_scores(docs, block_bytes=100).collect()} == {(4, 2)}
 
 
 def test_urls(spark):
