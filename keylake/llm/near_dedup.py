@@ -243,15 +243,15 @@ def linked(pairs: DataFrame, shingles: DataFrame, near: float = NEAR) -> DataFra
     return both.mapInArrow(check, "a long, b long")
 
 
-DIFFERENCES = "node long, hub long, slot int, slots int, hub_size long, added array<long>, lacks array<long>"
+DIFFERENCES = "node long, hub long, slot int, members long, hub_size long, added array<long>, lacks array<long>"
 
 
 def differences(groups: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Of groups (hub, node; hubs are nodes of their groups): what the node adds to the hub's units and lacks of them. A hub has `slots`, each for about SLOT_NODES of its nodes."""
-    of_group = stored(groups.groupBy("hub").agg((F.floor(F.count("*") / SLOT_NODES) + 1).cast("int").alias("slots")))
-    slotted = groups.join(of_group, "hub").select("hub", "node", "slots", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int").alias("slot"))
+    """Of groups (hub, node; hubs are nodes of their groups): how many members the group has, what the node adds to the hub's units and lacks of them. A hub has a slot for about every SLOT_NODES members."""
+    of_group = stored(groups.groupBy("hub").agg(F.count("*").alias("members")))
+    slotted = groups.join(of_group, "hub").select("hub", "node", "members", F.pmod(F.xxhash64("node"), slots()).cast("int").alias("slot"))
     hubs = of_group.join(shingles.select(F.col("node").alias("hub"), F.col("units").alias("uc")), "hub")
-    both = by_hub(slotted.join(shingles.select("node", "units"), "node"), hubs).select("node", "hub", "slot", "slots", "units", "uc")
+    both = by_hub(slotted.join(shingles.select("node", "units"), "node"), hubs).select("node", "hub", "slot", "members", "units", "uc")
 
     def compare(it):
         for batch in it:
@@ -261,14 +261,18 @@ def differences(groups: DataFrame, shingles: DataFrame) -> DataFrame:
                 added, lacks = np.setdiff1d(a, c, assume_unique=True), np.setdiff1d(c, a, assume_unique=True)
                 for x, v in zip(out, (len(c), added.view(np.int64), lacks.view(np.int64)), strict=True):
                     x.append(v)
-            yield batch_of({n: (batch.column(n), None) for n in ("node", "hub", "slot", "slots")} | {"hub_size": (out[0], pa.int64()), "added": (out[1], pa.list_(pa.int64())), "lacks": (out[2], pa.list_(pa.int64()))})
+            yield batch_of({n: (batch.column(n), None) for n in ("node", "hub", "slot", "members")} | {"hub_size": (out[0], pa.int64()), "added": (out[1], pa.list_(pa.int64())), "lacks": (out[2], pa.list_(pa.int64()))})
 
     return both.mapInArrow(compare, DIFFERENCES)
 
 
+def slots():
+    return F.floor(F.col("members") / SLOT_NODES).cast("int") + 1
+
+
 def by_hub(rows: DataFrame, of_hub: DataFrame) -> DataFrame:
-    """rows (hub, slot, ...) joined with of_hub (hub, slots, ...), whose rows are repeated for each slot: a hub's nodes are dealt over its slots."""
-    return rows.join(of_hub.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots"), ["hub", "slot"])
+    """rows (hub, slot, ...) joined with of_hub (hub, members, ...), whose rows are repeated for each slot: a hub's nodes are dealt over its slots."""
+    return rows.join(of_hub.withColumn("slot", F.explode(F.sequence(F.lit(0), slots() - 1))).drop("members"), ["hub", "slot"])
 
 
 def is_linked(near: float = NEAR):
@@ -283,15 +287,15 @@ def centred(d: DataFrame, near: float = NEAR) -> DataFrame:
     Each row gets n_added, n_lacks, delta (how much larger than the centre it is), cost (n_lacks + near * n_added), and excess:
     cost less the cost at which a text is as near as `near` to the centre.
     """
-    n = d.groupBy("hub").agg(F.count("*").alias("n"), F.max("slots").alias("slots"))
-    each = d.select("hub", F.lit("+").alias("kind"), F.explode("added").alias("unit")).unionByName(d.select("hub", F.lit("-").alias("kind"), F.explode("lacks").alias("unit")))
-    often = each.groupBy("hub", "kind", "unit").agg(F.count("*").alias("seen")).join(n.select("hub", "n"), "hub").filter("2 * seen > n")
+    n = d.groupBy("hub").agg(F.max("members").alias("members"))
+    each = d.select("hub", "members", F.lit("+").alias("kind"), F.explode("added").alias("unit")).unionByName(d.select("hub", "members", F.lit("-").alias("kind"), F.explode("lacks").alias("unit")))
+    often = each.groupBy("hub", "kind", "unit").agg(F.count("*").alias("seen"), F.max("members").alias("members")).filter("2 * seen > members")
     # At most twice what a node of the group differs by on average.
     of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("unit")))
     none = F.array().cast("array<long>")
-    flips = n.join(often.groupBy("hub").agg(of("+").alias("in_"), of("-").alias("out_")), "hub", "left").select("hub", "slots", F.coalesce("in_", none).alias("in_"), F.coalesce("out_", none).alias("out_"))
+    flips = n.join(often.groupBy("hub").agg(of("+").alias("in_"), of("-").alias("out_")), "hub", "left").select("hub", "members", F.coalesce("in_", none).alias("in_"), F.coalesce("out_", none).alias("out_"))
     new = lambda mine, gone, other, back: F.concat(F.array_except(mine, gone), F.array_except(back, other))
-    rows = by_hub(d, flips).select("hub", "slot", "slots", "node", (F.col("hub_size") + F.size("in_") - F.size("out_")).alias("size"), new("added", "in_", "lacks", "out_").alias("added"), new("lacks", "out_", "added", "in_").alias("lacks"))
+    rows = by_hub(d, flips).select("hub", "slot", "members", "node", (F.col("hub_size") + F.size("in_") - F.size("out_")).alias("size"), new("added", "in_", "lacks", "out_").alias("added"), new("lacks", "out_", "added", "in_").alias("lacks"))
     rows = rows.withColumns({"n_added": F.size("added"), "n_lacks": F.size("lacks")})
     rows = rows.withColumns({"delta": F.col("n_added") - F.col("n_lacks"), "cost": F.col("n_lacks") + near * F.col("n_added")})
     return rows.withColumn("excess", F.col("cost") - (1 - near) * F.col("size"))
@@ -305,7 +309,7 @@ def _up(x):
 def postings(rows: DataFrame, of_hub: DataFrame, labels: DataFrame, near: float = NEAR) -> DataFrame:
     """The differences by which nodes of different labels can be linked: hub, kind, unit, node, label, and what `candidates` asks of them.
 
-    rows: of centred; of_hub: hub, slots, least (the smallest cost of the group), most (how much smaller than
+    rows: of centred; of_hub: hub, members, least (the smallest cost of the group), most (how much smaller than
     the centre its smallest node is), and the label of the node with the smallest cost, with which all others have been compared.
 
     Let y lack A of the units of the group's centre c and add B, z lack A' and add B', and let them share r of what they
@@ -435,11 +439,11 @@ def classes_of(buckets: DataFrame, shingles: DataFrame, near: float = NEAR) -> D
     d = stored(differences(stored(groups.distinct()), shingles))
     labels = merged(labels, d.filter(is_linked(near) & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b")))
     rows = stored(centred(d, near))
-    of_hub = stored(rows.groupBy("hub").agg(F.max("slots").alias("slots"), F.min("cost").alias("least"), F.max(-F.col("delta")).alias("most"), F.min_by("node", F.struct("cost", "node")).alias("centre")))
-    near_centre = by_hub(rows.select("hub", "slot", "node"), of_hub.select("hub", "slots", "centre")).select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
+    of_hub = stored(rows.groupBy("hub").agg(F.max("members").alias("members"), F.min("cost").alias("least"), F.max(-F.col("delta")).alias("most"), F.min_by("node", F.struct("cost", "node")).alias("centre")))
+    near_centre = by_hub(rows.select("hub", "slot", "node"), of_hub.select("hub", "members", "centre")).select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
     labels = merged(labels, linked(stored(apart(near_centre, labels)), shingles, near))
     of_hub = of_hub.join(labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label")), "centre").drop("centre")
-    found = stored(postings(rows.drop("slots"), of_hub, labels, near))
+    found = stored(postings(rows, of_hub, labels, near))
     labels = merged(labels, linked(stored(stars(found, near)), shingles, near))
     found = stored(found.drop("label").join(labels, "node"))
     return merged(labels, linked(stored(candidates(found, found, near)), shingles, near))
