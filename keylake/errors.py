@@ -23,15 +23,3 @@ class InvalidRequest(KeyLakeError):
 
 class NoRewrite(KeyLakeError):
     """No value-log file is worth a rewrite."""
-
-
-class Rejected(KeyLakeError):
-    """A plan overlaps one that is under way."""
-
-
-class BadMagic(KeyLakeError):
-    """A manifest doesn't begin with the magic text."""
-
-
-class ChecksumMismatch(KeyLakeError):
-    """Stored bytes don't match their checksum."""

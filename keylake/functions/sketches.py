@@ -31,10 +31,29 @@ def _padded(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+#: Bytes of a padded matrix, or of one longer value.
+MATRIX_BYTES = 1 << 24
+
+
+def _by_length(values: list[bytes], f) -> np.ndarray:
+    """f over groups of values of like length, so that a long value doesn't widen the matrix of short ones."""
+    out = np.zeros(len(values), U32)
+    order = sorted(range(len(values)), key=lambda i: len(values[i]))
+    first = 0
+    for at in range(1, len(order) + 1):
+        longest = len(values[order[at]]) + 8 if at < len(order) else 0
+        if at == len(order) or (at + 1 - first) * longest > MATRIX_BYTES or longest > 64 + 2 * len(values[order[first]]):
+            out[order[first:at]] = f([values[i] for i in order[first:at]])
+            first = at
+    return out
+
+
 def hash_bytes(values: list[bytes]) -> np.ndarray:
-    """The 32-bit hash of each value: whole little-endian words first, then the bytes that are left, all rows side by side."""
-    if not values:
-        return np.zeros(0, U32)
+    """The 32-bit hash of each value: whole little-endian words first, then the bytes that are left, rows of like length side by side."""
+    return _by_length(values, _hash_rows)
+
+
+def _hash_rows(values: list[bytes]) -> np.ndarray:
     rows, n = _padded(values)
     words, m = rows.view("<u4"), U32(MULTIPLIER)
     with np.errstate(over="ignore"):
@@ -64,8 +83,10 @@ _CRC = _crc_table()
 
 
 def crc32c_bytes(values: list[bytes]) -> np.ndarray:
-    if not values:
-        return np.zeros(0, U32)
+    return _by_length(values, _crc_rows)
+
+
+def _crc_rows(values: list[bytes]) -> np.ndarray:
     rows, n = _padded(values)
     c = np.full(len(values), 0xFFFFFFFF, U32)
     for j in range(int(n.max())):

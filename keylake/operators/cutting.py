@@ -37,10 +37,6 @@ def cut(rows: DataFrame, group: str, order: list[str], size: str, limit: int, mo
     return rows.select(*cols).groupBy(group).applyInPandas(run, f"{group} long, seq long, {size} long, piece long")
 
 
-def piece_stats(pieces: DataFrame, group: str, size: str) -> DataFrame:
-    return pieces.groupBy(group, "piece").agg(F.count("*").alias("n_rows"), F.sum(size).alias("n_bytes"), F.min("seq").alias("first_seq"))
-
-
 def _shared(a: str, b: str) -> int:
     n = 0
     for x, y in zip(a, b):

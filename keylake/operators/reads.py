@@ -9,26 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keylake.errors import InvalidRequest, KeyNotFound
+from keylake.operators import ranges
 from keylake.operators.latest import live_rows
 from keylake.storage import ranged
 
-#: Probes that one pass answers; each adds four small aggregates.
-MAX_PROBES = 200
-
 
 def get(log: DataFrame, key: str, now: int) -> DataFrame:
     """The live row of a key: one row or none."""
     return live_rows(log.filter(F.col("key") == key), now)
 
 
-def get_one(log: DataFrame, key: str, now: int):
-    row = get(log, key, now).first()
-    if row is None:
-        raise KeyNotFound(key)
-    return row
-
-
 def multi_get(log: DataFrame, keys: DataFrame, now: int) -> DataFrame:
     """The live rows of a table of keys, which may be of any size: a semi join before the aggregate."""
     return live_rows(log.join(keys.select("key").distinct(), "key", "left_semi"), now)
@@ -52,13 +42,11 @@ def range_scan(log: DataFrame, low: str | None, high: str | None, now: int) -> D
     return scan(rows, now)
 
 
-def neighbours(log: DataFrame, probes: list[str], now: int) -> DataFrame:
-    """Per probe the nearest live keys: gt, ge, lt and le, all probes in one pass and one aggregate."""
-    if len(probes) > MAX_PROBES:
-        raise InvalidRequest(f"at most {MAX_PROBES} probes; join larger lists by ranges")
-    k = F.col("key")
-    found = live_rows(log, now).agg(*[F.struct(F.lit(p).alias("probe"), F.min(F.when(k > p, k)).alias("gt"), F.min(F.when(k >= p, k)).alias("ge"), F.max(F.when(k < p, k)).alias("lt"), F.max(F.when(k <= p, k)).alias("le")).alias(f"p{i}") for i, p in enumerate(probes)])
-    return found.select(F.inline(F.array(*[f"p{i}" for i in range(len(probes))])))
+def neighbours(log: DataFrame, probes: DataFrame | list[str], now: int) -> DataFrame:
+    """Per distinct probe (a table with the column probe, of any size, or a list) the nearest live keys: gt, ge, lt and le."""
+    if not isinstance(probes, DataFrame):
+        probes = log.sparkSession.createDataFrame([(p,) for p in probes], "probe string")
+    return ranges.beside(live_rows(log, now).select("key"), probes)
 
 
 def with_neighbours(log: DataFrame, now: int) -> DataFrame:

@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 from keylake.functions.sizes import SUFFIX, octets, value_log_size
 from keylake.log import Options
+from keylake.operators import ranges
 from keylake.operators.latest import dead, latest
 from keylake.storage import written
 
-#: A metadata table is broadcast up to this many rows; beyond, ranges are joined by buckets of their first bytes.
-BROADCAST_TABLES = 100_000
-
 
 def table_stats(log: DataFrame, table: Column, now: int) -> DataFrame:
     """table_id, key range, counts, newest version, bytes and stale bytes of each table."""
@@ -41,28 +39,63 @@ def ranges_overlap(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Co
     return (a_lo.isNull() & a_hi.isNull()) | (~(b_lo.isNull() & b_hi.isNull()) & (a_lo <= b_hi) & (a_hi >= b_lo))
 
 
-def _small(tables: DataFrame) -> DataFrame:
-    """The tables' metadata, for a range join: sent to all tasks, once counted."""
-    return F.broadcast(tables) if tables.count() <= BROADCAST_TABLES else tables
-
-
 def overlapping(tables: DataFrame) -> DataFrame:
     """Each table with the tables of the next level that overlap it."""
     t = written(tables.select("table_id", "level", "min_key", "max_key"))
-    below = _small(t.select(F.col("table_id").alias("below_id"), (F.col("level") - 1).alias("above"), F.col("min_key").alias("b_lo"), F.col("max_key").alias("b_hi")))
-    return t.join(below, (F.col("level") == F.col("above")) & (F.col("min_key") <= F.col("b_hi")) & (F.col("max_key") >= F.col("b_lo"))).select("table_id", "level", "below_id")
+    below = t.select(F.col("table_id").alias("below_id"), (F.col("level") - 1).alias("above"), F.col("min_key").alias("b_lo"), F.col("max_key").alias("b_hi"))
+    return ranges.overlaps(t, below, "min_key", "max_key", "b_lo", "b_hi").filter("level = above").select("table_id", "level", "below_id")
 
 
 def tables_for_keys(keys: DataFrame, tables: DataFrame) -> DataFrame:
     """Each key with the tables whose range holds it."""
-    t = _small(written(tables.select("table_id", "level", "min_key", "max_key")))
-    return keys.join(t, (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))).select("key", "table_id", "level")
+    t = tables.select("table_id", "level", "min_key", "max_key")
+    return ranges.stabbed(keys.select("key"), t, "key", "min_key", "max_key").select("key", "table_id", "level")
 
 
 def conflicting(plans: DataFrame, in_flight: DataFrame) -> DataFrame:
-    """The plans (plan_id, level, lo, hi) that overlap a range under way at their level."""
-    busy = _small(in_flight.select(F.col("level").alias("l"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi")))
-    return plans.join(busy, (F.col("level") == F.col("l")) & ranges_overlap(F.col("lo"), F.col("hi"), F.col("b_lo"), F.col("b_hi")), "left_semi")
+    """The plans (plan_id, level, lo, hi) that overlap a range under way at their level. A plan without ends overlaps all, a range under way without ends none but such plans."""
+    busy = in_flight.select(F.col("level").alias("l"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
+    whole = plans.filter("lo is null and hi is null").join(busy.select("l").distinct(), F.col("level") == F.col("l"), "left_semi")
+    hit = ranges.overlaps(plans.select("plan_id", "level", "lo", "hi"), busy, "lo", "hi", "b_lo", "b_hi").filter("level = l").select("plan_id").distinct()
+    return plans.join(hit, "plan_id", "left_semi").unionByName(whole)
+
+
+def level_zero_to_base(tables: DataFrame, base: int) -> DataFrame:
+    """What level 0 gives to the base level: the oldest tables, each while it overlaps the range of those before, with the base level's tables that overlap their range. role: top or bottom."""
+    order = W.orderBy("max_version", "table_id")  # over the tables of level 0
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    top = tables.filter((F.col("level") == 0) & ~F.col("in_flight")).select("table_id", "level", "min_key", "max_key", "max_version", F.min("min_key").over(before).alias("lo"), F.max("max_key").over(before).alias("hi"))
+    apart = F.coalesce((F.col("min_key") > F.col("hi")) | (F.col("max_key") < F.col("lo")), F.lit(False))
+    top = written(top.withColumn("stopped", F.max(apart).over(order)).filter("not stopped"))
+    covered = top.agg(F.min("min_key").alias("t_lo"), F.max("max_key").alias("t_hi"))
+    bottom = tables.filter(F.col("level") == base).select("table_id", "level", "min_key", "max_key").join(F.broadcast(covered), (F.col("min_key") <= F.col("t_hi")) & (F.col("max_key") >= F.col("t_lo")))  # the right side is one row
+    mine = ["table_id", "level", "min_key", "max_key"]
+    return top.select(*mine, F.lit("top").alias("role")).unionByName(bottom.select(*mine, F.lit("bottom").alias("role")))
+
+
+def level_to_next(tables: DataFrame, level: int, in_flight: DataFrame) -> DataFrame:
+    """The plan of a level: its oldest table whose range, and the range of the next level's tables that it overlaps, are free of ranges under way (level, lo, hi). One row or none."""
+    mine = written(tables.filter(F.col("level") == level).select("table_id", "level", "min_key", "max_key", "max_version"))
+    below = tables.filter(F.col("level") == level + 1).select(F.col("table_id").alias("below_id"), F.col("min_key").alias("b_lo"), F.col("max_key").alias("b_hi"))
+    met = ranges.overlaps(mine.select("table_id", "min_key", "max_key"), below, "min_key", "max_key", "b_lo", "b_hi").groupBy("table_id").agg(F.count("*").alias("n_bottom"), F.min("b_lo").alias("next_lo"), F.max("b_hi").alias("next_hi"))
+    plans = written(mine.join(met, "table_id", "left").select("table_id", "max_version", F.col("min_key").alias("this_lo"), F.col("max_key").alias("this_hi"), F.coalesce("n_bottom", F.lit(0)).alias("n_bottom"), F.coalesce("next_lo", "min_key").alias("next_lo"), F.coalesce("next_hi", "max_key").alias("next_hi")))
+    of = lambda a, l: plans.select(F.col("table_id").alias("plan_id"), F.lit(l).cast("long").alias("level"), F.col(f"{a}_lo").alias("lo"), F.col(f"{a}_hi").alias("hi"))
+    taken = conflicting(of("this", level).unionByName(of("next", level + 1)), in_flight).select(F.col("plan_id").alias("table_id")).distinct()
+    return plans.join(taken, "table_id", "left_anti").orderBy("max_version", "table_id").limit(1)
+
+
+def reserved(in_flight: DataFrame, plans: DataFrame) -> DataFrame:
+    """Ranges under way (level, lo, hi) with those of plans from level_to_next (with their level) added, both of the level and of the next."""
+    both = F.array(F.struct(F.col("level").alias("level"), F.col("this_lo").alias("lo"), F.col("this_hi").alias("hi")), F.struct((F.col("level") + 1).alias("level"), F.col("next_lo").alias("lo"), F.col("next_hi").alias("hi")))
+    return in_flight.select("level", "lo", "hi").unionByName(plans.select(F.inline(both)))
+
+
+def file_targets(levels: DataFrame, options: Options) -> DataFrame:
+    """level and file_bytes: level 0 has the write buffer's size, levels down to the base the table size, and each level below `table_multiplier` times that of the one above."""
+    deepest = compaction_priorities(levels, options).filter(F.col("target") <= options.base_level_bytes).agg(F.coalesce(F.max("level"), F.lit(0)).alias("deepest"))
+    below = F.greatest(F.col("level") - F.col("deepest"), F.lit(0))
+    size = F.when(F.col("level") == 0, F.lit(options.memtable_bytes)).otherwise(options.base_table_bytes * F.pow(F.lit(options.table_multiplier), below))
+    return deepest.select("deepest", F.explode(F.sequence(F.lit(0), F.lit(options.levels - 1))).alias("level")).select("level", size.cast("long").alias("file_bytes"))
 
 
 def compaction_priorities(levels: DataFrame, options: Options) -> DataFrame:
@@ -126,6 +159,26 @@ def compacted(log: DataFrame, now: int | None = None) -> DataFrame:
     return out if now is None else out.filter(~dead(now))
 
 
-def write_sorted(log: DataFrame, path: str, max_rows: int = 1_000_000) -> None:
-    """Tables of disjoint, sorted key ranges: readers skip row groups by their least and greatest keys."""
-    log.repartitionByRange("key").sortWithinPartitions("key", F.col("version").desc(), F.col("seq").desc()).write.option("maxRecordsPerFile", max_rows).mode("errorifexists").parquet(path)
+def write_sorted(log: DataFrame, path: str, max_rows: int = 1_000_000, splits: DataFrame | None = None, filters_for: int | None = None) -> None:
+    """Tables of disjoint, sorted key ranges: readers skip row groups by their least and greatest keys.
+
+    splits (of split_points): rows of a split range are dealt further by their hash, `max_rows` of them to a file at most. filters_for: files
+    get Parquet's own Bloom filter on the key, for so many distinct keys a file; gets then skip files that can't have a key.
+    """
+    newest = [F.col("version").desc(), F.col("seq").desc()]
+    if splits is None:
+        rows = log.repartitionByRange("key")
+    else:
+        upper = splits.filter("hi is not null").select("hi").distinct()
+        rows = split_of(log, upper)
+    writer = rows.sortWithinPartitions("key", *newest).write.option("maxRecordsPerFile", max_rows).mode("errorifexists")
+    if filters_for is not None:
+        writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", filters_for)
+    (writer if splits is None else writer.partitionBy("split")).parquet(path)
+
+
+def split_of(log: DataFrame, upper: DataFrame) -> DataFrame:
+    """log with `split`: how many of the split ranges (upper: hi) end before the row's key; ranged by split and key, so that a split of any size is dealt over many tasks."""
+    places = upper.orderBy("hi").agg(F.sort_array(F.collect_list("hi")).alias("ends"))  # at most five splits a compaction and one row
+    out = log.join(F.broadcast(places), F.lit(True)).withColumn("split", F.size(F.filter("ends", lambda e: e < F.col("key")))).drop("ends")
+    return out.repartitionByRange("split", "key")

@@ -39,6 +39,35 @@ def with_liveness(records: DataFrame, now: int) -> DataFrame:
     return records.join(current, ["key", "fid", "offset"], "left").withColumn("alive", F.coalesce("current", F.lit(False))).drop("current")
 
 
+def rewritten(records: DataFrame, files: DataFrame, now: int) -> DataFrame:
+    """The rows of the collected files (fid) that a rewrite must keep: each key's newest row, if it is one of theirs.
+
+    A dead one keeps no value, and stays only where another file has older rows of its key, which it must go on hiding.
+    records: fid and the log's columns; (version, seq) tells a key's rows apart.
+    """
+    newest = latest(records.select("key", "op", "ttl", "version", "seq", "fid")).join(files.select("fid"), "fid", "left_semi")
+    elsewhere = records.join(files.select("fid"), "fid", "left_anti").select("key", F.lit(True).alias("hides")).distinct()
+    newest = newest.join(elsewhere, "key", "left").withColumn("alive", live(now)).filter("alive or hides").select("key", "version", "seq", "fid", "alive")
+    rows = records.join(newest, ["key", "version", "seq", "fid"])
+    return rows.withColumn("value", F.when(F.col("alive"), F.col("value"))).drop("alive")
+
+
+def idle_files(files: DataFrame, pending: DataFrame) -> DataFrame:
+    """The log files (fid) that no deletion is pending for (fid)."""
+    return files.join(pending.select("fid"), "fid", "left_anti").select("fid")
+
+
+def from_discard_json(rows: DataFrame) -> DataFrame:
+    """fid and dead bytes, read back from discard_json."""
+    return rows.select(F.explode(F.from_json("discards", "map<string,bigint>")).alias("fid", "discard")).select(F.col("fid").cast("long").alias("fid"), "discard")
+
+
+def recovered(records: DataFrame, bad: Column, now: int) -> DataFrame:
+    """What is live after a replay: the valid prefix of each log file, then the newest row of each key."""
+    rows = valid_prefix(records, bad)
+    return latest(rows).filter(live(now))
+
+
 def discard_stats(records: DataFrame, now: int) -> DataFrame:
     """Per file: bytes, bytes of dead records and their share."""
     out = with_liveness(records, now).groupBy("fid").agg(F.sum("len").alias("total"), F.coalesce(F.sum(F.when(~F.col("alive"), F.col("len"))), F.lit(0)).alias("discard"))
@@ -53,9 +82,10 @@ def collectable(stats: DataFrame, ratio: float, head: int | None = None) -> Data
     return rows.filter(F.col("discard") >= ratio * F.col("total")).orderBy(F.col("discard").desc(), "fid")
 
 
-def picked(stats: DataFrame, head: int) -> DataFrame:
-    """The file with the most dead bytes before head; the lowest of equals. One row is the answer."""
-    return stats.filter(F.col("fid") < head).orderBy(F.col("discard").desc(), "fid").limit(1)
+def picked(stats: DataFrame, head: DataFrame) -> DataFrame:
+    """The file with the most dead bytes before head (one row, head); the lowest of equals. One row is the answer."""
+    older = stats.join(F.broadcast(head.select("head")), F.col("fid") < F.col("head")).select(stats.columns)
+    return older.orderBy(F.col("discard").desc(), "fid").limit(1)
 
 
 def survivors(records: DataFrame, files: DataFrame, now: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from keylake.functions import sizes, sketches
 from keylake.log import NOW, Options, kv_log, order_log
 from keylake.operators import cutting, latest, manifest, reads, tables, valuelog, writes
 from keylake.sources.files import table
+from keylake.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -134,6 +135,12 @@ def _(s, d):
     return reads.neighbours(_kv(s, d), PROBES, NOW)
 
 
+@query("kv_neighbours_of_table", f"WITH {LIVE}, p AS (SELECT DISTINCT lpad(CAST(c_custkey AS VARCHAR), 5, '0') || '/m' AS probe FROM customer) SELECT probe, min(key) FILTER (WHERE key > probe) AS gt, min(key) FILTER (WHERE key >= probe) AS ge, max(key) FILTER (WHERE key < probe) AS lt, max(key) FILTER (WHERE key <= probe) AS le FROM p, live GROUP BY probe")
+def _(s, d):
+    probes = table(s, d, "customer").select(F.concat(F.lpad(F.col("c_custkey").cast("string"), 5, "0"), F.lit("/m")).alias("probe"))
+    return reads.neighbours(_kv(s, d), probes, NOW)
+
+
 @query("kv_next_prev", f"WITH {LIVE} SELECT key, lag(key) OVER (ORDER BY key) AS prev_key, lead(key) OVER (ORDER BY key) AS next_key FROM live")
 def _(s, d):
     return reads.with_neighbours(_kv(s, d), NOW)
@@ -274,9 +281,8 @@ def _(s, d):
 
 @query("kv_gc_pick", f"WITH {ALIVE} SELECT fid, total, discard, round(discard / total, 6) AS ratio FROM discards WHERE fid < (SELECT max(fid) FROM discards) ORDER BY discard DESC, fid LIMIT 1")
 def _(s, d):
-    stats = valuelog.discard_stats(_records(s, d), NOW)
-    head = table(s, d, "events").agg(F.floor(F.max("event_id") / FILE_ROWS).alias("h")).first()["h"]
-    return valuelog.picked(stats, head)
+    head = table(s, d, "events").agg(F.floor(F.max("event_id") / FILE_ROWS).alias("head"))
+    return valuelog.picked(valuelog.discard_stats(_records(s, d), NOW), head)
 
 
 @query("kv_gc_ratio", f"WITH {ALIVE} SELECT fid, total, discard, round(discard / total, 6) AS ratio FROM discards WHERE discard >= 0.9 * total ORDER BY discard DESC, fid")
@@ -290,6 +296,34 @@ def _(s, d):
     return valuelog.survivors(records, valuelog.collectable(valuelog.discard_stats(records, NOW), 0.9), NOW)
 
 
+@query("kv_gc_log_after", f"""WITH {ALIVE}, gone AS (SELECT fid FROM discards WHERE discard >= 0.9 * total),
+n AS (SELECT n.*, op <> 'DEL' AND (ttl = 0 OR ttl > {NOW}) AS ok, key IN (SELECT key FROM records WHERE fid NOT IN (SELECT fid FROM gone)) AS hides FROM newest n WHERE fid IN (SELECT fid FROM gone))
+SELECT {ALL}, fid FROM records WHERE fid NOT IN (SELECT fid FROM gone) UNION ALL SELECT key, CASE WHEN ok THEN value END AS value, op, ttl, version, seq, fid FROM n WHERE ok OR hides""")
+def _(s, d):
+    records = _records(s, d)
+    gone = written(valuelog.collectable(valuelog.discard_stats(records, NOW), 0.9).select("fid"))
+    cols = [*ALL.split(", "), "fid"]
+    return records.join(gone, "fid", "left_anti").select(*cols).unionByName(valuelog.rewritten(records, gone, NOW).select(*cols))
+
+
+@query("kv_recovered", f"""WITH {RECORDS}, b AS (SELECT *, sum(CASE WHEN seq % 1000 = 700 AND fid % 2 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY fid ORDER BY seq) AS bad FROM records),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC, seq DESC) AS rn FROM b WHERE bad = 0)
+SELECT {ALL} FROM n WHERE rn = 1 AND op <> 'DEL' AND (ttl = 0 OR ttl > {NOW})""")
+def _(s, d):
+    return valuelog.recovered(_records(s, d), F.expr(BAD), NOW).select(*ALL.split(", "))
+
+
+@query("kv_idle_files", f"WITH {ALIVE} SELECT fid FROM discards WHERE fid NOT IN (SELECT fid FROM discards WHERE discard >= 0.9 * total)")
+def _(s, d):
+    stats = written(valuelog.discard_stats(_records(s, d), NOW))
+    return valuelog.idle_files(stats.select("fid"), valuelog.collectable(stats, 0.9))
+
+
+@query("kv_discard_reloaded", f"WITH {ALIVE} SELECT fid, discard FROM discards")
+def _(s, d):
+    return valuelog.from_discard_json(valuelog.discard_json(valuelog.discard_stats(_records(s, d), NOW)))
+
+
 @query("kv_discard_json", f"""WITH {ALIVE} SELECT fid // 1000 AS shard, '{{' || string_agg('"' || fid || '":' || discard, ',' ORDER BY CAST(fid AS VARCHAR)) || '}}' AS discards FROM discards GROUP BY 1""")
 def _(s, d):
     return valuelog.discard_json(valuelog.discard_stats(_records(s, d), NOW))
@@ -333,6 +367,76 @@ def _(s, d):
     return tables.conflicting(t.filter("not in_flight").drop("in_flight"), t.filter("in_flight"))
 
 
+#: Narrow tables: those of a level are disjoint, and levels are cut at different users.
+NARROW = f"""{KV}, tab AS (
+  SELECT (seq % 3) * 1000 + CAST(substr(key, 1, 5) AS BIGINT) // (20 + 5 * (seq % 3)) AS table_id, min(key) AS min_key, max(key) AS max_key, max(version) AS max_version FROM kv GROUP BY 1),
+tabs AS (SELECT *, table_id // 1000 AS level, table_id % 7 = 3 AS in_flight FROM tab)"""
+
+
+def _narrow(spark: SparkSession, folder: str) -> DataFrame:
+    level = F.col("seq") % 3
+    number = level * 1000 + F.floor(F.substring("key", 1, 5).cast("long") / (20 + 5 * level))
+    out = tables.table_stats(_kv(spark, folder), number, NOW).withColumn("level", F.floor(F.col("table_id") / 1000))
+    return written(out.withColumn("in_flight", F.col("table_id") % 7 == 3))
+
+
+@query("kv_narrow_overlap", f"WITH {NARROW} SELECT a.table_id, a.level, b.table_id AS below_id FROM tabs a JOIN tabs b ON b.level = a.level + 1 AND a.min_key <= b.max_key AND a.max_key >= b.min_key")
+def _(s, d):
+    return tables.overlapping(_narrow(s, d))
+
+
+@query("kv_narrow_for_key", f"WITH {NARROW}, k AS (SELECT DISTINCT key FROM kv) SELECT k.key, t.table_id, t.level FROM k JOIN tabs t ON k.key BETWEEN t.min_key AND t.max_key")
+def _(s, d):
+    return tables.tables_for_keys(_kv(s, d).select("key").distinct(), _narrow(s, d))
+
+
+def _top(tabs: str, base: int) -> str:
+    return f"""WITH {tabs}, t0 AS (SELECT *, min(min_key) OVER w AS lo, max(max_key) OVER w AS hi FROM tabs WHERE level = 0 AND NOT in_flight WINDOW w AS (ORDER BY max_version, table_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t1 AS (SELECT *, max(CASE WHEN min_key > hi OR max_key < lo THEN 1 ELSE 0 END) OVER (ORDER BY max_version, table_id) AS stopped FROM t0)
+SELECT table_id, level, min_key, max_key, 'top' AS role FROM t1 WHERE stopped = 0
+UNION ALL SELECT table_id, level, min_key, max_key, 'bottom' FROM tabs WHERE level = {base} AND min_key <= (SELECT max(max_key) FROM t1 WHERE stopped = 0) AND max_key >= (SELECT min(min_key) FROM t1 WHERE stopped = 0)"""
+
+
+@query("kv_l0_to_base", _top(TABLES, 2))
+def _(s, d):
+    return tables.level_zero_to_base(_tables(s, d), 2)
+
+
+@query("kv_l0_to_base_narrow", _top(NARROW, 1))
+def _(s, d):
+    return tables.level_zero_to_base(_narrow(s, d), 1)
+
+
+PLAN = f"""{NARROW}, busy AS (SELECT level, min_key AS lo, max_key AS hi FROM tabs WHERE in_flight),
+p AS (SELECT a.table_id, a.max_version, a.min_key AS this_lo, a.max_key AS this_hi, count(b.table_id) AS n_bottom, coalesce(min(b.min_key), a.min_key) AS next_lo, coalesce(max(b.max_key), a.max_key) AS next_hi
+  FROM tabs a LEFT JOIN tabs b ON b.level = 2 AND a.min_key <= b.max_key AND a.max_key >= b.min_key WHERE a.level = 1 GROUP BY a.table_id, a.max_version, a.min_key, a.max_key),
+plan AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM busy b WHERE (b.level = 1 AND this_lo <= b.hi AND this_hi >= b.lo) OR (b.level = 2 AND next_lo <= b.hi AND next_hi >= b.lo)) ORDER BY max_version, table_id LIMIT 1)"""
+
+
+def _busy(tabs: DataFrame) -> DataFrame:
+    return tabs.filter("in_flight").select("level", F.col("min_key").alias("lo"), F.col("max_key").alias("hi"))
+
+
+@query("kv_level_to_next", f"WITH {PLAN} SELECT * FROM plan")
+def _(s, d):
+    t = _narrow(s, d)
+    return tables.level_to_next(t, 1, _busy(t))
+
+
+@query("kv_reserved_ranges", f"WITH {PLAN} SELECT level, lo, hi FROM busy UNION ALL SELECT 1, this_lo, this_hi FROM plan UNION ALL SELECT 2, next_lo, next_hi FROM plan")
+def _(s, d):
+    t = _narrow(s, d)
+    return tables.reserved(_busy(t), tables.level_to_next(t, 1, _busy(t)).withColumn("level", F.lit(1).cast("long")))
+
+
+@query("kv_compact_by_split", f"""WITH {LATEST}, {TABLES.split(', tab AS (', 1)[1].join(['tab AS (', ''])}, n AS (SELECT max_key, row_number() OVER (ORDER BY min_key, table_id) AS rn, count(*) OVER () AS n FROM tabs WHERE level = 6),
+c AS (SELECT max_key FROM n WHERE (rn - 1) % greatest(3, CAST(ceil(n / 5) AS BIGINT)) = greatest(3, CAST(ceil(n / 5) AS BIGINT)) - 1 AND rn < n)
+SELECT key, version, seq, (SELECT count(*) FROM (SELECT DISTINCT max_key FROM c) WHERE max_key < key) AS split FROM latest WHERE op <> 'DEL' AND (ttl = 0 OR ttl > {NOW})""")
+def _(s, d):
+    upper = tables.split_points(_tables(s, d).filter("level = 6")).filter("hi is not null").select("hi").distinct()
+    return tables.split_of(tables.compacted(_kv(s, d), NOW), upper).select("key", "version", "seq", "split")
+
+
 _S = [f"coalesce(sum(size) FILTER (WHERE level = {i}), 0) AS s{i}, coalesce(sum(in_flight_size) FILTER (WHERE level = {i}), 0) AS f{i}" for i in range(7)]
 _GAP = "b1"
 _STEPS = []
@@ -354,6 +458,11 @@ def _(s, d):
     return tables.compaction_priorities(tables.level_stats(_tables(s, d)), LEVELS)
 
 
+@query("kv_file_targets", f"WITH {PRIORITIES} SELECT i AS level, CAST(CASE WHEN i = 0 THEN {LEVELS.memtable_bytes} ELSE 5000 * pow(2, greatest(i - base, 0)) END AS BIGINT) AS file_bytes FROM b1, (SELECT unnest(range(7)) AS i)")
+def _(s, d):
+    return tables.file_targets(tables.level_stats(_tables(s, d)), LEVELS)
+
+
 @query("kv_compaction_priority", f"WITH {PRIORITIES} SELECT * FROM pr WHERE score >= 1 AND level < 6")
 def _(s, d):
     return tables.compaction_order(tables.compaction_priorities(tables.level_stats(_tables(s, d)), LEVELS), LEVELS)
@@ -497,37 +606,55 @@ def _(s, d):
     return sketches.capped_frequency(_kv(s, d))
 
 
-@query("kv_count_min", f"WITH {KV} SELECT count(DISTINCT key) AS n_keys, 0 AS too_low FROM kv")
+@query("kv_count_min", f"WITH {KV} SELECT count(DISTINCT key) AS n_keys, 0 AS too_low, 0 AS far_too_high, count(*) AS counted FROM kv")
 def _(s, d):
-    kv = _kv(s, d)
-    n = kv.groupBy("key").agg(F.count("*").alias("n"))
-    both = n.join(sketches.estimated(n.select("key"), sketches.count_min(kv)), "key")
-    return both.agg(F.count("*").alias("n_keys"), F.count(F.when(F.col("estimate") < F.col("n"), 1)).alias("too_low"))
+    kv, cells = _kv(s, d), 1 << 16
+    n, sketch = kv.groupBy("key").agg(F.count("*").alias("n")), sketches.count_min(kv, counters=cells)
+    both = n.join(sketches.estimated(n.select("key"), sketch, counters=cells), "key").crossJoin(F.broadcast(sketch.filter("row = 0").agg(F.sum("n").alias("counted"))))  # the right side is one row
+    far = F.col("estimate") > F.col("n") + F.greatest(F.lit(3), 8 * F.col("counted") / cells)
+    return both.agg(F.count("*").alias("n_keys"), F.count(F.when(F.col("estimate") < F.col("n"), 1)).alias("too_low"), F.count(F.when(far, 1)).alias("far_too_high"), F.max("counted").alias("counted"))
 
 
-@query("kv_bloom_membership", f"WITH {KV}, k AS (SELECT DISTINCT key FROM kv) SELECT count(*) AS n_keys, 0 AS lost FROM k WHERE CAST(substr(key, 1, 5) AS BIGINT) % 2 = 0")
-def _(s, d):
-    keys = _kv(s, d).select("key").distinct()
+# The hash, the checksum and the filter's bits in SQL, over the bytes of a text.
+BYTES = "list_transform(range(0, strlen({x})), lambda i: CAST(('0x' || substr(hex(encode({x})), 2 * i + 1, 2)) AS HUGEINT))"
+HASH = f"""{KV}, k AS (SELECT DISTINCT key FROM kv), b AS (SELECT key, strlen(key) AS n, {BYTES.format(x='key')} AS b FROM k),
+w AS (SELECT key, n, b, list_transform(range(0, n // 4), lambda j: b[4 * j + 1] + b[4 * j + 2] * 256 + b[4 * j + 3] * 65536 + b[4 * j + 4] * 16777216) AS w FROM b),
+h0 AS (SELECT key, n, b, list_reduce(list_prepend(xor({sketches.SEED}::HUGEINT, (n * {sketches.MULTIPLIER}::HUGEINT) % 4294967296), w), lambda h, x: xor(((h + x) * {sketches.MULTIPLIER}) % 4294967296, (((h + x) * {sketches.MULTIPLIER}) % 4294967296) >> 16)) AS h FROM w),
+h1 AS (SELECT key, n % 4 AS r, h, h + list_sum(list_transform(range(0, n % 4), lambda j: b[4 * (n // 4) + j + 1] * CAST(pow(256, j) AS HUGEINT))) AS t FROM h0),
+hashed AS (SELECT key, CAST(CASE WHEN r = 0 THEN h ELSE xor((CAST(t AS HUGEINT) * {sketches.MULTIPLIER}) % 4294967296, ((CAST(t AS HUGEINT) * {sketches.MULTIPLIER}) % 4294967296) >> 24) END AS BIGINT) AS h FROM h1)"""
+FILTER = f"""{HASH}, even AS (SELECT * FROM hashed WHERE CAST(substr(key, 1, 5) AS BIGINT) % 2 = 0),
+shape AS (SELECT (greatest(64, count(*) * 10) + 7) // 8 * 8 AS bits FROM even),
+probed AS (SELECT key, unnest(list_transform(range(0, 6), lambda j: ((h + j * ((h * 32768) % 4294967296 + h // 131072)) % 4294967296) % bits)) AS bit FROM hashed, shape),
+on_ AS (SELECT DISTINCT bit FROM probed WHERE key IN (SELECT key FROM even)),
+found AS (SELECT p.key, count(o.bit) = 6 AS maybe FROM probed p LEFT JOIN on_ o ON o.bit = p.bit GROUP BY p.key)"""
+IS_EVEN = "CAST(substr(key, 1, 5) AS BIGINT) % 2 = 0"
+
+
+def _filtered(spark: SparkSession, folder: str) -> tuple[DataFrame, Column]:
+    keys = _kv(spark, folder).select("key").distinct()
     even = F.substring("key", 1, 5).cast("long") % 2 == 0
     words, bits, probes = sketches.bloom_bits(keys.filter(even), "key", keys.filter(even).count())
-    found = sketches.may_contain(keys, "key", words, bits, probes)
-    return found.filter(even).agg(F.count("*").alias("n_keys"), F.count(F.when(~F.col("maybe"), 1)).alias("lost"))
+    return sketches.may_contain(keys, "key", words, bits, probes), even
 
 
-@query("kv_bloom_probe", None)
+@query("kv_bloom_membership", f"WITH {FILTER} SELECT count(*) FILTER (WHERE {IS_EVEN}) AS n_keys, count(*) FILTER (WHERE {IS_EVEN} AND NOT maybe) AS lost, count(*) FILTER (WHERE NOT {IS_EVEN} AND maybe) AS false_hits FROM found")
 def _(s, d):
-    keys = _kv(s, d).select("key").distinct()
-    even = F.substring("key", 1, 5).cast("long") % 2 == 0
-    words, bits, probes = sketches.bloom_bits(keys.filter(even), "key", keys.filter(even).count())
-    return sketches.may_contain(keys, "key", words, bits, probes)
+    found, even = _filtered(s, d)
+    return found.agg(F.count(F.when(even, 1)).alias("n_keys"), F.count(F.when(even & ~F.col("maybe"), 1)).alias("lost"), F.count(F.when(~even & F.col("maybe"), 1)).alias("false_hits"))
+
+
+@query("kv_bloom_probe", f"WITH {FILTER} SELECT key, maybe FROM found")
+def _(s, d):
+    return _filtered(s, d)[0]
 
 
-@query("kv_hash", None)
+@query("kv_hash", f"WITH {HASH} SELECT key, h AS hash FROM hashed")
 def _(s, d):
     return _kv(s, d).select("key").distinct().withColumn("hash", sketches.key_hash("key"))
 
 
-@query("kv_crc32c", None)
+@query("kv_crc32c", f"""WITH {KV}, b AS (SELECT seq, {BYTES.format(x='value')} AS b FROM kv)
+SELECT seq, CAST(xor(list_reduce(list_prepend(4294967295::HUGEINT, b), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a % 2) * {sketches.CASTAGNOLI}::HUGEINT))), 4294967295::HUGEINT) AS BIGINT) AS crc FROM b""")
 def _(s, d):
     return _kv(s, d).select("seq", sketches.crc32c("value").alias("crc"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylake.errors import InvalidRequest, KeyNotFound, NoRewrite
+from keylake.functions.sizes import value_log_size
 from keylake.log import SCHEMA, Options, checked
 from keylake.operators import latest, reads, tables, valuelog, writes
 from keylake.storage import written
@@ -48,13 +49,25 @@ class Store:
     def _now(self, now: int | None) -> int:
         return int(time.time()) if now is None else now
 
-    def log(self) -> DataFrame:
-        """All rows of this generation."""
+    def _replaced(self) -> set[int]:
+        """Batches whose rows garbage collection has put elsewhere: one small file a collection."""
+        marks = [self._path(f"{self._gen()}/replaced-{n}") for n in self._numbers(self._gen(), r"replaced-(\d+)$")]
+        return {int(x) for m in marks for x in self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(self._fs.open(m), "UTF-8").split()}
+
+    def _rows(self) -> DataFrame:
+        """All rows of this generation with their batch."""
         if not self.open:
             raise InvalidRequest("the store is closed")
-        if not self._numbers(self._gen(), r"batch=(\d+)$"):
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).option("basePath", self._gen()).parquet(f"{self._gen()}/batch=*").select(*[c.split()[0] for c in SCHEMA.split(", ")])
+        there = sorted(set(self._numbers(self._gen(), r"batch=(\d+)$")) - self._replaced())
+        if not there:
+            return self.spark.createDataFrame([], SCHEMA + ", batch long")
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        found = self.spark.read.schema(SCHEMA + ", batch long").option("basePath", self._gen()).parquet(*[f"{self._gen()}/batch={n}" for n in there])
+        return found.select(*names, F.col("batch").cast("long").alias("batch"))
+
+    def log(self) -> DataFrame:
+        """All rows of this generation."""
+        return self._rows().drop("batch")
 
     def append(self, batch: DataFrame) -> int:
         """A batch with the log's columns but version, which is the batch's number; of repeated keys in a batch the greatest seq counts. All or nothing is written."""
@@ -100,14 +113,32 @@ class Store:
         self._finish(following)
         return following
 
-    def collect_garbage(self, ratio: float | None = None, now: int | None = None, rows_per_file: int = 1_000_000) -> DataFrame:
-        """The live records of the value-log files whose dead share is ratio or more are put again as a batch; returns the files."""
-        records = valuelog.with_offsets(self.log(), F.floor(F.monotonically_increasing_id() / rows_per_file))
-        records = written(records)
-        files = written(valuelog.collectable(valuelog.discard_stats(records, self._now(now)), self.options.discard_ratio if ratio is None else ratio))
+    def collect_garbage(self, ratio: float | None = None, now: int | None = None) -> DataFrame:
+        """Batches whose dead share of bytes is `ratio` or more go, and the rows of them that must stay are put in new batches with their versions; returns the batches (fid) that went.
+
+        Rows in new batches first repeat old ones, which changes no read; the marker that names the old batches makes
+        them unseen, all at once; then their files go. Only the collected batches are rewritten.
+        """
+        now = self._now(now)
+        records = self._rows().withColumnRenamed("batch", "fid").withColumn("len", value_log_size(F.col("key"), F.col("value"), F.col("ttl")))
+        records = records.withColumn("offset", F.col("seq"))  # tells a key's rows of one batch apart
+        files = written(valuelog.collectable(valuelog.discard_stats(records, now), self.options.discard_ratio if ratio is None else ratio))
         if files.isEmpty():
-            raise NoRewrite("no file has so many dead bytes")
-        self.append(valuelog.survivors(records, files, self._now(now)).select("key", "value", "op", "ttl", "seq"))
+            raise NoRewrite("no batch has so many dead bytes")
+        rows = written(valuelog.rewritten(records, files, now))
+        size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("bytes")).first()
+        # Bounded batches, each within half the limits of a put.
+        n = 1 + max(2 * size["n"] // self.options.max_batch_count, 2 * size["bytes"] // self.options.max_batch_bytes)
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        out = rows.select(*names, (F.lit(self._batch) + F.pmod(F.xxhash64("key"), F.lit(n))).alias("batch"))
+        out.repartition("batch").write.mode("append").partitionBy("batch").parquet(self._gen())
+        self._batch += n
+        gone = [r["fid"] for r in files.select("fid").collect()]  # one number a batch
+        with_names = self._fs.create(self._path(f"{self._gen()}/replaced-{self._batch}"))
+        with_names.writeBytes("\n".join(map(str, gone)))
+        with_names.close()
+        for k in gone:
+            self._fs.delete(self._path(f"{self._gen()}/batch={k}"), True)
         return files
 
     def latest(self) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from keylake import errors
 from keylake.functions import sketches
 from keylake.log import NOW, SCHEMA, Options, checked, kv_log
-from keylake.operators import cutting, latest, manifest, reads, tables, writes
+from keylake.operators import cutting, latest, manifest, ranges, reads, tables, writes
 from keylake.plans import catalogue
 from keylake.sources.files import numbered_files, table
 from keylake.sources.store import Store
@@ -70,15 +70,116 @@ def test_store_put_get_delete_put_again(spark, tmp_path):
     assert again.scan(now=NOW + 2000).count() == 0
 
 
-def test_store_garbage_collection_keeps_live_values(spark, tmp_path):
-    s = Store(spark, f"file://{tmp_path}/store")
-    for turn in range(4):
-        s.put([(f"k{i}", f"{turn}-{i}") for i in range(30)])
-    before = {r.key: r.value for r in s.scan(now=NOW).collect()}
-    assert s.collect_garbage(0.5, NOW).count() >= 1
-    assert {r.key: r.value for r in s.scan(now=NOW).collect()} == before
+def test_store_garbage_collection_frees_bytes_and_changes_no_read(spark, tmp_path):
+    folder = tmp_path / "store"
+    s = Store(spark, f"file://{folder}")
+    rows = lambda turn, ids: spark.createDataFrame([(f"k{i:05d}", f"{turn}-{i}-" + "x" * 50) for i in ids], "key string, value string")
+    for part in range(3):  # 27,000 keys, of which 9,000 in each batch, and 8,999 of two batches written again
+        s.put(rows(0, range(part * 9000, part * 9000 + 9000)))
+    for part in range(2):
+        s.put(rows(1, range(part * 9000 + 1, part * 9000 + 9000, 3)))
+        s.put(rows(2, range(part * 9000 + 2, part * 9000 + 9000, 3)))
+    s.delete(["k00000", "k26999"])
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    read = lambda: {r.key: r.value for r in s.scan(now=NOW).collect()}
+    before, bytes_before = read(), size()
+    assert len(before) == 26_998
+    gone = {r.fid for r in s.collect_garbage(0.5, NOW).collect()}
+    assert len(gone) >= 2 and read() == before and size() < bytes_before
+    assert not [k for k in gone if (folder / f"gen-0/batch={k}").exists()]
+    again = Store(spark, f"file://{folder}")
+    assert {r.key: r.value for r in again.scan(now=NOW).collect()} == before
+    again.put([("k00000", "back")])
+    assert again.get("k00000", NOW) == "back"
+    with pytest.raises(errors.NoRewrite):
+        again.collect_garbage(0.99, NOW)
     with pytest.raises(errors.InvalidRequest):
-        s.collect_garbage(1.0, NOW)
+        again.collect_garbage(1.0, NOW)
+
+
+def test_collection_puts_back_more_rows_than_a_batch_may_have(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.put([(f"k{i:05d}", "x" * 40) for i in range(9_900)])
+    s.put([(f"m{i:05d}", "y" * 40) for i in range(9_900)])
+    s.delete([f"{c}{i:05d}" for c in "km" for i in range(0, 9_900, 11)])
+    before = {r.key for r in s.scan(now=NOW).collect()}
+    assert len(before) == 18_000
+    s.collect_garbage(0.05, NOW)
+    assert {r.key for r in s.scan(now=NOW).collect()} == before
+
+
+def test_a_collected_tombstone_goes_on_hiding_older_rows(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.put([("a", "old"), *[(f"k{i}", "v") for i in range(20)]])
+    s.delete(["a", "never there"])
+    assert s.collect_garbage(0.9, NOW).count() == 1
+    with pytest.raises(errors.KeyNotFound):
+        s.get("a", NOW)
+    assert s.log().filter("key = 'never there'").count() == 0
+
+
+def test_gets_skip_files_by_parquet_bloom_filters(spark, tmp_path):
+    log = spark.range(20_000).selectExpr("concat('key', id * 7919 % 20000) AS key", "'v' AS value", "'PUT' AS op", "0L AS ttl", "1L AS version", "id AS seq")
+    tables.write_sorted(log, f"file://{tmp_path}/t", filters_for=20_000)
+    import pyarrow.parquet as pq
+
+    files = list((tmp_path / "t").glob("*.parquet"))
+    plain = f"{tmp_path}/plain"
+    tables.write_sorted(log, f"file://{plain}")
+    grown = sum(f.stat().st_size for f in files) - sum(f.stat().st_size for f in (tmp_path / "plain").glob("*.parquet"))
+    assert grown > 10_000 and sum(pq.ParquetFile(f).metadata.num_rows for f in files) == 20_000
+    assert reads.get(spark.read.schema(SCHEMA).parquet(f"file://{tmp_path}/t"), "key77", NOW).count() == 1
+
+
+def test_a_compaction_is_written_by_split_ranges(spark, tmp_path):
+    log = kv_log(table(spark, SF, "events"))
+    upper = spark.createDataFrame([(0, "00004/view"), (1, None)], "split long, hi string")
+    tables.write_sorted(tables.compacted(log, NOW), f"file://{tmp_path}/c", max_rows=10, splits=upper)
+    out = spark.read.parquet(f"file://{tmp_path}/c")
+    ends = {r.split: (r.lo, r.hi, r.n) for r in out.groupBy("split").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).collect()}
+    assert set(ends) == {0, 1} and ends[0][1] <= "00004/view" < ends[1][0]
+    assert sorted(r.key for r in out.collect()) == sorted(r.key for r in latest.live_rows(log, NOW).collect())
+
+
+def _has_no_loops(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_range_joins_equal_brute_force_without_loops(spark):
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abc") for _ in range(3))
+    points = [(word(), i) for i in range(300)] + [(None, 999)]
+    spans = [(*sorted((word(), word())), i) for i in range(150)] + [("", "zzz", 150), (None, "b", 151), ("a", None, 152)]
+    p, s = spark.createDataFrame(points, "at string, p long"), spark.createDataFrame(spans, "lo string, hi string, s long")
+    got = ranges.stabbed(p, s, "at", "lo", "hi")
+    _has_no_loops(got)
+    want = {(i, j) for at, i in points for lo, hi, j in spans if None not in (at, lo, hi) and lo <= at <= hi}
+    pairs = [(x.p, x.s) for x in got.collect()]
+    assert set(pairs) == want and len(pairs) == len(want)
+    other = s.select(F.col("lo").alias("l2"), F.col("hi").alias("h2"), F.col("s").alias("t"))
+    got = ranges.overlaps(s, other, "lo", "hi", "l2", "h2")
+    _has_no_loops(got)
+    pairs = [(x.s, x.t) for x in got.collect()]
+    whole = [x for x in spans if None not in x]
+    assert set(pairs) == {(i, j) for a, b, i in whole for c, d, j in whole if a <= d and b >= c} and len(pairs) == len(set(pairs))
+    assert ranges.stabbed(p.limit(0), s, "at", "lo", "hi").count() == ranges.stabbed(p, s.limit(0), "at", "lo", "hi").count() == 0
+
+
+def test_neighbours_of_more_probes_than_keys(spark):
+    log = spark.createDataFrame([(f"k{i:04d}", "v", "PUT", 0, 1, i) for i in range(0, 1000, 3)], SCHEMA)
+    probes = spark.createDataFrame([(f"k{i:04d}",) for i in range(1000)] + [(None,)], "probe string")
+    got = {r.probe: (r.gt, r.ge, r.lt, r.le) for r in reads.neighbours(log, probes, NOW).collect()}
+    key = lambda i: f"k{i:04d}" if 0 <= i <= 999 else None
+    assert got == {f"k{i:04d}": (key(i // 3 * 3 + 3), key(-(-i // 3) * 3), key(-(-i // 3) * 3 - 3), key(i // 3 * 3)) for i in range(1000)}
+    assert reads.neighbours(log.limit(0), ["a"], NOW).first().asDict() == {"probe": "a", "gt": None, "ge": None, "lt": None, "le": None}
+
+
+def test_a_long_value_doesnt_widen_the_others():
+    values = [b"x"] * 1000 + [b"y" * 100_000] + [b"zz"]
+    assert sketches.hash_bytes(values)[:1].tolist() == sketches.hash_bytes([b"x"]).tolist() and sketches.crc32c_bytes(values)[-1] == sketches.crc32c_bytes([b"zz"])[0]
 
 
 def test_bad_batches(spark):
