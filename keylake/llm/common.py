@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (local runs and tests) a temporary folder serves.
+    Unset, a folder of this machine serves in local mode, where driver and executors are one process; a cluster is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="keylake-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -46,6 +48,13 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches in slices of at most `rows`, so that what a task makes of one is small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def batch_of(columns: dict):
     """An Arrow record batch from a dict of arrays or lists with their types as (values, type)."""
     import pyarrow as pa

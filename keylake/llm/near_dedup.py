@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keylake.llm.common import NEAR, WORDS_PER_SHINGLE, batch_of, stored, text_or_empty
+from keylake.llm.common import NEAR, WORDS_PER_SHINGLE, batch_of, slices, stored, text_or_empty
 from keylake.llm.words import groups, mixed, shingle_hashes, word_hashes
 
 COORDINATES = 128
@@ -226,7 +226,7 @@ def linked(pairs: DataFrame, shingles: DataFrame, near: float = NEAR) -> DataFra
 
     def check(it):
         last, ub = None, None
-        for batch in it:
+        for batch in slices(it):
             out: tuple[list, list] = ([], [])
             for a, b, ra, rb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if b != last:
@@ -254,7 +254,7 @@ def differences(groups: DataFrame, shingles: DataFrame) -> DataFrame:
     both = by_hub(slotted.join(shingles.select("node", "units"), "node"), hubs).select("node", "hub", "slot", "members", "units", "uc")
 
     def compare(it):
-        for batch in it:
+        for batch in slices(it):
             out: list[list] = [[], [], []]
             for ra, rc in zip(batch.column("units").to_pylist(), batch.column("uc").to_pylist(), strict=True):
                 a, c = _unit_hashes(ra), _unit_hashes(rc)

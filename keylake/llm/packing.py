@@ -34,7 +34,7 @@ ISLANDS = 2
 POPULATION = 5
 EPOCHS = 2
 GENERATIONS = 8
-CACHED = 1_000_000
+CACHED = 300_000
 
 PIECE = "deal long, doc_id long, piece int, start long, length long, ids_crc32 long"
 ISLAND = "shard long, island int, lengths binary, population binary, capacity int"
@@ -57,8 +57,8 @@ class _WordIds(dict):
 _words: dict[str, _WordIds] = {}
 
 
-def token_bytes(texts: list[str], path: str, closing: int | None = CLOSING_ID) -> list[bytes]:
-    """Each text's ids and the closing id, as little-endian unsigned 32-bit bytes.
+def token_bytes(text: str, path: str, closing: int | None = CLOSING_ID) -> bytes:
+    """A text's ids and the closing id, as little-endian unsigned 32-bit bytes.
 
     The tokenizer turns white space into word ends before it splits, so words between ASCII white
     space have their ids whatever stands beside them.
@@ -66,18 +66,14 @@ def token_bytes(texts: list[str], path: str, closing: int | None = CLOSING_ID) -
     if path not in _words:
         _words[path] = _WordIds(path)
     known = _words[path]
-    end = b"" if closing is None else np.array([closing], "<u4").tobytes()
-    out = []
-    for text in texts:
-        words = text.encode().split()
-        parts = list(map(known.get, words))
-        if None in parts:
-            new = known.ids_of(list({w for w, p in zip(words, parts) if p is None}))
-            parts = [new[w] if p is None else p for w, p in zip(words, parts)]
-            if len(known) < CACHED:
-                known.update(new)
-        out.append(b"".join(parts) + end)
-    return out
+    words = text.encode().split()
+    parts = list(map(known.get, words))
+    if None in parts:
+        new = known.ids_of(list({w for w, p in zip(words, parts) if p is None}))
+        parts = [new[w] if p is None else p for w, p in zip(words, parts)]
+        if len(known) < CACHED:
+            known.update(new)
+    return b"".join(parts) + (b"" if closing is None else np.array([closing], "<u4").tobytes())
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -87,10 +83,11 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         number = TaskContext.get().partitionId() << 33
         for b in it:
             out = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), token_bytes(b.column("text").to_pylist(), tokenizer_path), strict=True):
+            for doc_id, text in zip(b.column("doc_id"), b.column("text"), strict=True):
+                ids = token_bytes(text.as_py(), tokenizer_path)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    out.append((number, doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    out.append((number, doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part)))
                     number += 1
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             cols = list(zip(*out)) or [[]] * 6
