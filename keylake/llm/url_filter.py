@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keylake.llm.common import stored
+
 #: (host, path, verdict); a rule fits the host and its subdomains where the path begins with the rule's.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Host labels of sites whose pages make up the list of the query.
-LISTED_LABELS = ["casino-win", "free-bets", "cheap-pills"]
+LISTED_LABELS = ["casino-win", "free-bets", "cheap-pills", "spam-farm"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_KEY = 16
 MAX_BLOCKS = 1 << 18
@@ -96,33 +98,60 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, max_blocks: int = MA
     """page_id, host, path, rule, verdict, listed for each row of pages; listed: a table of urls that are blocked where no rule fits."""
     url = F.col("url").cast("string")
     urls = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical_url(url).alias("canon"))
-    keys = listed.select(canonical_url(F.col("url").cast("string")).alias("canon")).filter("canon <> ''").distinct()
+    keys = stored(listed.select(canonical_url(F.col("url").cast("string")).alias("canon")).filter("canon <> ''").distinct())
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return listed_flags(urls, keys, max_blocks).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 
-def op2(spark: SparkSession, pages: DataFrame) -> DataFrame:
+def example_list(pages: DataFrame) -> DataFrame:
+    """A list of urls to block, as none is given: the pages of LISTED_LABELS' hosts whose number is even, written otherwise than in pages, and a page of each that isn't there.
+
+    An entry has another scheme, a www. host in capitals with a port, doubled and closing slashes, its fields turned round between tracking fields, and a fragment.
+    """
+    url = F.col("url").cast("string")
+    host, path = host_of(url), path_of(url)
     label = r"(^|\.)(" + "|".join(LISTED_LABELS) + r")(\.|$)"
-    listed = pages.filter(host_of(F.col("url").cast("string")).rlike(label)).select("url")
-    return judge(pages, listed)
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
+    turned = F.concat(F.lit("utm_medium=list&"), F.array_join(F.reverse(F.split(query, "&")), "&"), F.lit("&gclid=1"))
+    name = F.concat(F.lit("FTP://www."), F.upper(F.regexp_replace(host, r"^(www|m)\.", "")), F.lit(":80/"))
+    entries = F.array(F.concat(name, path, F.lit("/?"), turned, F.lit("#list")), F.concat(name, path, F.lit("/gone")))
+    even = F.regexp_extract(path, r"([0-9])(\.html)?/?$", 1).isin("0", "2", "4", "6", "8")
+    return pages.filter(host.rlike(label) & even).select(F.explode(entries).alias("url"))
+
+
+def op2(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    return judge(pages, example_list(pages))
 
 
 OP2_SQL = r"""
-WITH u AS (
+WITH p AS (
   SELECT page_id, coalesce(url, '') AS url FROM pages
+), spam AS (
+  SELECT *, regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's') AS query FROM (
+    SELECT url, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM p)
+  WHERE regexp_matches(host, '(^|\.)(casino-win|free-bets|cheap-pills|spam-farm)(\.|$)') AND regexp_extract(path, '([0-9])(\.html)?/?$', 1) IN ('0', '2', '4', '6', '8')
+), entries AS (
+  SELECT 'FTP://www.' || upper(regexp_replace(host, '^(www|m)\.', '')) || ':80/' || path || '/?utm_medium=list&' || array_to_string(list_reverse(string_split(query, '&')), '&') || '&gclid=1#list' AS url FROM spam
+  UNION ALL SELECT 'FTP://www.' || upper(regexp_replace(host, '^(www|m)\.', '')) || ':80/' || path || '/gone' FROM spam
+), u AS (
+  SELECT page_id, url, false AS entry FROM p UNION ALL SELECT NULL, url, true FROM entries
 ), s AS (
-  SELECT page_id,
+  SELECT page_id, entry,
          translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+         regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+         list_sort(list_filter(string_split(regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's'), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS fields
   FROM u
+), c AS (
+  SELECT *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\.([^.]+\.)', '\2') || regexp_replace(regexp_replace(path, '/{2,}', '/', 'g'), '/$', '') || CASE WHEN len(fields) > 0 THEN '?' || array_to_string(fields, '&') ELSE '' END AS canon
+  FROM s
 ), r AS (
   SELECT *,
     CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
          WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
          WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
          WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-    regexp_matches(host, '(^|\.)(casino-win|free-bets|cheap-pills)(\.|$)') AS listed
-  FROM s)
+    host <> '' AND canon IN (SELECT canon FROM c WHERE entry) AS listed
+  FROM c WHERE NOT entry)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict,
        listed

@@ -77,10 +77,29 @@ def test_urls(spark):
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == got[9] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert got[4] == ("b.net", "", None, "allow") and got[5] == ("x.org", "/fr/a", "org/fr/", "allow")
-    assert got[7][3] == "block" and got[6][2] is None
+    assert got[7][3] == "allow" and got[6][2] is None
     assert url_filter.op2(spark, pages.limit(0)).count() == 0
 
 
+def test_list_entries_meet_pages_by_canonical_url_only(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://shop.test/a?b=2&a=1#x", "url"), (2, "https://shop.test/a?b=2", "y"), (3, "http://www.shop.test//a/?a=1&utm_source=q&b=2", "y"), (4, "http://shop.test/" + "z" * 100_000, "y"), (5, "http://x.example.net/en/a", "y"), (5, "http://x.example.net/en/a", "y"), (6, None, None)], "page_id long, url string, canon string")
+    listed = spark.createDataFrame([("HTTPS://WWW.shop.test:443/a/?a=1&b=2&ref=1",), ("http://shop.test/" + "z" * 100_000 + "/",), ("http://x.example.net/en/a",), (None,), ("nothing",)], "url string")
+    verdicts = lambda: sorted((r.page_id, r.verdict, r.listed) for r in url_filter.judge(pages, listed).collect())
+    assert verdicts() == [(1, "block", True), (2, "allow", False), (3, "block", True), (4, "block", True), (5, "allow", True), (5, "allow", True), (6, "allow", False)]
+    monkeypatch.setattr(url_filter, "canonical_url", lambda url: url)  # without it entries miss their pages
+    assert [v for i, v, _ in verdicts() if i in (1, 3)] == ["allow", "allow"]
+
+
+def test_broken_filter_changes_verdicts(spark, monkeypatch):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    blocked = url_filter.op2(spark, pages).filter("listed and verdict = 'block' and rule is null").count()
+    all_spam = pages.filter(url_filter.host_of(F.col("url")).rlike("casino-win|free-bets|cheap-pills|spam-farm")).count()
+    assert 0 < blocked < all_spam
+    bits = iter((1, 2))  # the filter's bits are other ones than those that are asked for
+    monkeypatch.setattr(url_filter, "_masks", lambda key, real=url_filter._masks: [F.lit(b).cast("long") for b in [next(bits)] * 4])
+    assert url_filter.op2(spark, pages).filter("listed").count() == 0
+
+
 def test_bloom_filter_alone_loses_nothing(spark):
     listed = spark.range(3000).selectExpr("concat('h/', id) AS canon")
     urls = spark.range(6000).selectExpr("id", "concat('h/', id) AS canon")
