@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,12 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def shared_file(spark: SparkSession, path: str):
+    """A small file's bytes, such as a vocabulary of some MB, as a broadcast, and a name for them: executors needn't have the path."""
+    raw = Path(path).read_bytes()
+    return spark.sparkContext.broadcast(raw), hashlib.sha1(raw).hexdigest()
+
+
 def slices(batches, rows: int = 1024):
     """Arrow batches in slices of at most `rows`, so that what a task makes of one is small."""
     for b in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import batch_of, text_or_empty
+from keylake.llm.common import batch_of, shared_file, text_or_empty
 
 MARK = "▁"
 CACHED = 800_000
@@ -32,16 +32,17 @@ CACHED = 800_000
 class PieceModel:
     """Pieces and ranks of a SentencePiece BPE model with byte fallback and no normalisation."""
 
-    def __init__(self, path: str):
+    def __init__(self, raw: bytes):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
-        with open(path, "rb") as f:
-            model = pb.ModelProto.FromString(f.read())
+        model = pb.ModelProto.FromString(raw)
         if model.trainer_spec.model_type != 2 or model.normalizer_spec.precompiled_charsmap or not model.trainer_spec.byte_fallback or model.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only BPE models with byte fallback and identity normalisation are handled")
         self.dummy_prefix = model.normalizer_spec.add_dummy_prefix
         kinds = type(model.pieces[0])
+        if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in model.pieces):
+            raise ValueError("models with user-defined or unused pieces aren't handled")
         self.pieces = [p.piece for p in model.pieces]
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         self.scores = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
@@ -55,6 +56,8 @@ class PieceModel:
         for p, s in self.scores.items():
             (self.tied if s in seen else seen).add(s)
         self.tied = {p for p, s in self.scores.items() if s in self.tied}
+        #: Finds a tied piece anywhere in a chunk, whether or not its encoding would use it.
+        self.ties = re.compile("|".join(map(re.escape, self.tied)) or r"(?!)")
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             if self.merge(p) == [p]:  # only pieces that merging can end with
@@ -135,7 +138,7 @@ class PieceModel:
         return a not in self.ids or b not in self.ids or self.compatible(a, b)
 
     def chunk_ids(self, chunk: str) -> list[int]:
-        parts = self.merge(chunk) if chunk[:2] == MARK * 2 or not self.tied.isdisjoint(chunk) else self.backtrack(chunk)
+        parts = self.merge(chunk) if chunk[:2] == MARK * 2 or self.ties.search(chunk) else self.backtrack(chunk)
         out: list[int] = []
         for p in parts:
             if p in self.ids:
@@ -215,18 +218,21 @@ class _Coded(dict):
 _models: dict[str, tuple[PieceModel, _Coded]] = {}
 
 
-def _model(path: str) -> tuple[PieceModel, _Coded]:
-    if path not in _models:
-        model = PieceModel(path)
-        _models[path] = model, _Coded(model)
-    return _models[path]
+def _model(name: str, file) -> tuple[PieceModel, _Coded]:
+    """The model of this worker; file: its broadcast bytes."""
+    if name not in _models:
+        model = PieceModel(file.value)
+        _models[name] = model, _Coded(model)
+    return _models[name]
 
 
 def encoded(documents: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (array of int, or null without with_ids), ids_sha256 and decoded_sha256 of each text."""
 
+    file, name = shared_file(documents.sparkSession, model_path)
+
     def rows(it):
-        model, coded = _model(model_path)
+        model, coded = _model(name, file)
         for b in it:
             n, ids, ids_sha, out_sha = [], [], [], []
             for text in b.column("text").to_pylist():
