@@ -2,10 +2,12 @@
 
 Documents become pieces of at most `capacity` tokens; their lengths, not their tokens, are packed.
 Pieces are dealt to shards of about `shard_pieces`, each a bin-packing problem of its own. A shard has
-`islands` populations; an individual is an assignment of pieces to bins, the first one packed best-fit
-by falling length. Crossover injects whole well-filled bins of one parent into the other, drops the bins
-that hold the same pieces, and places the displaced pieces best-fit, longest first. After each epoch an
-island sends its elite to the next island, over a shuffle keyed by (shard, island).
+`islands` populations; an individual is an assignment of pieces to bins, packed best-fit by falling length,
+the lengths blurred; only the first of the first island isn't blurred, so that no result is worse than plain best-fit.
+Crossover injects whole well-filled bins of one parent into the other, drops the bins that hold the same pieces,
+breaks up badly filled ones, and places the displaced pieces best-fit, longest first. After each epoch an island
+sends its elite to the next island, over a shuffle keyed by (shard, island). A population whose best individual
+has as few bins as the total length allows is done, as nothing better exists.
 
 Defined cases: a null or empty text is the closing token alone; a table of no rows gives no pieces; rows
 that repeat are packed each; a document as long as the capacity or shorter is never cut; other columns
@@ -25,15 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm.common import batch_of, stored, text_or_empty
+from keylake.llm.common import batch_of, shared_file, stored, text_or_empty
 
 CAPACITY = 2048
 CLOSING_ID = 0
 SHARD_PIECES = 4096
 ISLANDS = 2
 POPULATION = 5
-EPOCHS = 2
-GENERATIONS = 8
+EPOCHS = 3
+GENERATIONS = 12
+#: The greatest blur of a founder, as a share of the length.
+BLUR = 0.3
 CACHED = 300_000
 
 PIECE = "deal long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -43,11 +47,11 @@ ISLAND = "shard long, island int, lengths binary, population binary, capacity in
 class _WordIds(dict):
     """A word's ids as little-endian unsigned 32-bit bytes, kept for a bounded number of words."""
 
-    def __init__(self, path: str):
+    def __init__(self, raw: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(raw)
 
     def ids_of(self, words: list[bytes]) -> dict[bytes, bytes]:
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
@@ -57,15 +61,19 @@ class _WordIds(dict):
 _words: dict[str, _WordIds] = {}
 
 
-def token_bytes(text: str, path: str, closing: int | None = CLOSING_ID) -> bytes:
+def _known(name: str, file) -> _WordIds:
+    """The words that this worker knows of a tokenizer; file: its broadcast bytes."""
+    if name not in _words:
+        _words[name] = _WordIds(file.value)
+    return _words[name]
+
+
+def token_bytes(text: str, known: _WordIds, closing: int | None = CLOSING_ID) -> bytes:
     """A text's ids and the closing id, as little-endian unsigned 32-bit bytes.
 
     The tokenizer turns white space into word ends before it splits, so words between ASCII white
     space have their ids whatever stands beside them.
     """
-    if path not in _words:
-        _words[path] = _WordIds(path)
-    known = _words[path]
     words = text.encode().split()
     parts = list(map(known.get, words))
     if None in parts:
@@ -79,12 +87,14 @@ def token_bytes(text: str, path: str, closing: int | None = CLOSING_ID) -> bytes
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: deal (a running number that differs for all rows), doc_id, piece, start, length, ids_crc32."""
 
+    file, name = shared_file(documents.sparkSession, tokenizer_path)
+
     def cut(it):
-        number = TaskContext.get().partitionId() << 33
+        number, known = TaskContext.get().partitionId() << 33, _known(name, file)
         for b in it:
             out = []
             for doc_id, text in zip(b.column("doc_id"), b.column("text"), strict=True):
-                ids = token_bytes(text.as_py(), tokenizer_path)
+                ids = token_bytes(text.as_py(), known)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((number, doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -151,7 +161,7 @@ class Packer:
         """Injects well-filled bins of donor into a copy of `into`; what loses its bin is placed best-fit."""
         fill = np.bincount(donor, self.lengths)
         good = np.flatnonzero(fill >= 0.995 * self.capacity)
-        share = self.random.uniform(0.1, 0.4)
+        share = self.random.uniform(0.02, 0.4)
         chosen = good[np.array([self.random.random() for _ in good]) < share] if len(good) else good
         flag = np.zeros(len(fill), bool)
         flag[chosen] = True
@@ -159,7 +169,7 @@ class Packer:
         hit = np.zeros(int(into.max()) + 1, bool)
         hit[into[given]] = True
         worst = np.bincount(into, self.lengths)
-        hit |= worst < min(0.97, self.random.random() + 0.5) * self.capacity  # badly filled bins are broken up too
+        hit |= worst < (1 - 10 ** -self.random.uniform(0.3, 3)) * self.capacity  # badly filled bins are broken up too
         displaced = hit[into] & ~given
         kept = ~hit[into] & ~given
         out = np.empty_like(into)
@@ -205,10 +215,7 @@ def _founded(capacity: int, islands: int, population: int):
         rows = []
         for island in range(islands):
             p = Packer(lengths, capacity, shard * 1009 + island)
-            first = p.first(0)
-            own = [first]
-            if -p.score(first)[0] > p.bound:
-                own += [p.first(0.02 * k + 0.01 * island) for k in range(1, population)]
+            own = [p.first(BLUR * (k + 0.5 * (island % 2)) / population) for k in range(population)]
             rows.append((shard, island, lengths.astype("<i4").tobytes(), _pack(own), capacity))
         return pd.DataFrame(rows, columns=["shard", "island", "lengths", "population", "capacity"])
 
