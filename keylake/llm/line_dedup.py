@@ -1,9 +1,11 @@
 """Removal of lines that many documents share, over levelled sorted runs of line hashes.
 
 Every batch of documents is reduced to a run: one row per line key with the number of the batch's
-documents that hold it, sorted by hash. Runs of a level are merged into one run of the next level
-when `fanout` of them have gathered, so a corpus that grows by batches rewrites each hash only
-log_fanout(batches) times. A batch is filtered by a merge anti-join of its lines against the runs.
+documents that hold it, sorted by hash. Before that, the batch is merge-anti-joined with the runs: lines
+whose keys enough documents of the runs hold are settled, and aren't counted again. Runs of a level are
+merged, by sort-merge joins on the hash, into one run of the next level when `fanout` of them have gathered, so
+a corpus that grows by batches rewrites each hash only log_fanout(batches) times. As a line is dropped from all
+documents, those of earlier batches too, the texts are rebuilt after the last batch, by the same anti-join.
 
 Defined cases: a null text is an empty one and has one empty line, which always stays; rows equal in
 doc_id and text are the same document stored twice and count once; a null doc_id is an id like others;
@@ -13,6 +15,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 import xxhash
@@ -72,13 +75,11 @@ class LineRuns:
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 3, runs: list[tuple[int, str]] | None = None):
         self.spark, self.path, self.fanout = spark, path or shared_dir(spark), fanout
         self.runs = list(runs or [])
-        self._made = len(self.runs)
 
     def _write(self, counts: DataFrame, level: int) -> None:
-        name = f"level{level}-run{self._made}"
-        self._made += 1
-        # Exchanges for the grouping leave each key in one partition; sorting there makes each file a sorted run.
-        counts.sortWithinPartitions(*KEY).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        name = f"level{level}-{uuid.uuid4().hex}"  # no name comes twice, however many sessions go on with the runs
+        # The exchange of the grouping or merging leaves each key in one partition; sorting there makes each file a sorted run.
+        counts.sortWithinPartitions(*KEY).write.mode("errorifexists").parquet(f"{self.path}/{name}")
         self.runs.append((level, name))
 
     def _read(self, runs: list[tuple[int, str]]) -> DataFrame:
@@ -87,21 +88,29 @@ class LineRuns:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}" for _, name in runs])
 
-    def add(self, lines: DataFrame) -> None:
-        """A batch's lines (of line_rows) become a run; full levels are compacted."""
+    def add(self, lines: DataFrame, min_docs: int | None = None) -> None:
+        """A batch's lines (of line_rows) become a run, without those whose keys min_docs documents of the runs hold; full levels are compacted."""
+        if min_docs is not None and self.runs:
+            lines = self.unseen(lines, min_docs)
         once = lines.groupBy("doc_id", "t", *KEY).agg(F.lit(1).alias("one"))
         self._write(once.groupBy(*KEY).agg(F.count("*").alias("n")), 0)
         level = 0
         while len(full := [r for r in self.runs if r[0] == level]) >= self.fanout:
-            merged = self._read(full).groupBy(*KEY).agg(F.sum("n").alias("n"))
-            self._write(merged, level + 1)
+            self._write(self._merged(full), level + 1)
             self.runs = [r for r in self.runs if r not in full]
             level += 1
 
+    def _merged(self, runs: list[tuple[int, str]]) -> DataFrame:
+        """Sorted runs merged one after the other; counts of equal keys are added."""
+        out = self._read(runs[:1])
+        for r in runs[1:]:
+            more = self._read([r]).withColumnRenamed("n", "m")
+            out = out.join(more.hint("merge"), KEY, "full_outer").select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        return out
+
     def counts(self) -> DataFrame:
         """Documents per key over all runs."""
-        merged = self._read(self.runs)
-        return merged if len(self.runs) == 1 else merged.groupBy(*KEY).agg(F.sum("n").alias("n"))
+        return self._merged(self.runs)
 
     def frequent(self, min_docs: int) -> DataFrame:
         return self.counts().filter(F.col("n") >= min_docs).select(*KEY)
@@ -125,7 +134,7 @@ def drop_shared_lines(documents: DataFrame, min_docs: int = 10, min_chars: int =
     lines = stored(line_rows(documents, min_chars, batches), partition_by=["batch"])
     runs = LineRuns(spark, fanout=fanout)
     for b in range(batches):
-        runs.add(lines.filter(F.col("batch") == b))
+        runs.add(lines.filter(F.col("batch") == b), min_docs)
     stay = runs.unseen(lines, min_docs).groupBy("doc_id", "t").agg(F.collect_set("pos").alias("stay"))
     d, k = identified(documents).alias("d"), stay.alias("k")
     joined = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.t") == F.col("k.t")), "left").select("d.doc_id", "d.text", "k.stay", "d.row")

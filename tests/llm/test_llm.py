@@ -173,6 +173,30 @@ def test_dart_minhash_estimates_weighted_similarity():
     assert abs((sig[0] == sig[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.05
 
 
+def test_unseen_misspellings_are_toxic_too(spark):
+    rng = random.Random(3)
+    good = [f"{a}{b}" for a in ("lor", "dol", "amet", "sit", "cons", "adip", "elit", "sed") for b in ("em", "or", "ur", "is", "ec", "am", "us", "ent")]
+    rows = []
+    for i in range(600):
+        words = [rng.choice(good) for _ in range(rng.randrange(10, 60))]
+        if i % 3 == 0:
+            bad = ["worthless", "disgusting", "pathetic"]
+            if toxicity_held_out(i):  # spelt as no document to learn from spells them
+                bad = ["worthlesss", "w0rthless", "disgustingg", "d1sgusting", "patheticc", "pathetik"]
+            words += [rng.choice(bad) for _ in range(3)]
+            rng.shuffle(words)
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = [r for r in toxicity.op5(spark, docs, docs).collect() if r.held_out]
+    caught = [r.predicted for r in held if r.doc_id % 3 == 0]
+    assert len(caught) > 40 and sum(caught) >= 0.9 * len(caught)
+    assert sum(r.predicted for r in held if r.doc_id % 3) <= 0.02 * len(held)
+
+
+def toxicity_held_out(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
 def test_toxicity(spark, odd, none):
     rng = random.Random(1)
     bad, good = ["idiot", "moron", "pathetic"], [f"word{i}" for i in range(300)]
@@ -213,6 +237,37 @@ def test_piece_encoding_equals_the_library(spark, odd, none):
     assert piece_encoding.op6(spark, none, path).count() == 0
 
 
+def piece_model(pieces):
+    """A tiny BPE model: its pieces with their scores, and the bytes."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 2, True
+    m.normalizer_spec.remove_extra_whitespaces = m.normalizer_spec.add_dummy_prefix = False
+    m.normalizer_spec.name = "identity"
+    kinds = pb.ModelProto.SentencePiece
+    for name, kind in (("<unk>", kinds.UNKNOWN), ("<s>", kinds.CONTROL), ("</s>", kinds.CONTROL), *((f"<0x{b:02X}>", kinds.BYTE) for b in range(256))):
+        m.pieces.add(piece=name, score=0, type=kind)
+    for name, score in pieces:
+        m.pieces.add(piece=name, score=score, type=kinds.NORMAL)
+    return m
+
+
+def test_ties_of_longer_pieces_are_merged_as_the_library_does():
+    import sentencepiece
+
+    m = piece_model([("ab", -1), ("bc", -1), ("abc", -2), ("ca", -3), ("a", -4), ("b", -5), ("c", -6)])
+    sp = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    model = piece_encoding.PieceModel(m.SerializeToString())
+    assert model.tied == {"ab", "bc"}
+    rng = random.Random(2)
+    for text in ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(300)]:
+        assert model.encode(text) == sp.encode(text), text
+    m.pieces[-1].type = type(m.pieces[0]).USER_DEFINED
+    with pytest.raises(ValueError):
+        piece_encoding.PieceModel(m.SerializeToString())
+
+
 def test_fingerprints(spark, odd, none):
     rows = sorted(texts(spark).items())
     got = {r.doc_id: r for r in fingerprint.op7(spark, table(spark, SF, "documents")).collect()}
@@ -253,6 +308,63 @@ def test_packing(spark, odd, none):
     assert packing.op8(spark, none, path).count() == 0
 
 
+def pieces_of(spark, lengths):
+    return spark.createDataFrame([(i, i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECE)
+
+
+def test_the_genetic_algorithm_betters_best_fit(spark):
+    plain = evolved = bound = 0
+    for seed in (2, 9, 15, 23):
+        r = np.random.default_rng(seed)
+        lengths = np.sort(r.integers(15, 60, int(r.integers(30, 120))))[::-1]
+        p = packing.Packer(lengths, 100, 0)
+        plain -= p.score(p.first(0))[0]
+        bound += p.bound
+        rows = packing.packed(pieces_of(spark, lengths), capacity=100).collect()
+        fill = {}
+        for x in rows:
+            fill[x.sequence_id] = fill.get(x.sequence_id, 0) + x.length
+        assert sorted(x.length for x in rows) == sorted(lengths.tolist()) and max(fill.values()) <= 100
+        evolved += len(fill)
+    assert bound <= evolved <= plain - 3
+
+
+def test_crossover_keeps_every_piece_and_migrants_arrive():
+    import pandas as pd
+
+    r = np.random.default_rng(2)
+    lengths = np.sort(r.integers(15, 60, 105))[::-1]
+    p = packing.Packer(lengths, 100, 1)
+    a, b = p.first(0.3), p.first(0.3)
+    for _ in range(20):
+        child = p.cross(a, b)
+        assert len(child) == len(lengths) and np.bincount(child, lengths).max() <= 100
+        a, b = b, child
+    founded = packing._founded(100, 2, 5)(pd.DataFrame({"shard": 0, "length": lengths, "deal": range(len(lengths))}))
+    assert len(founded) == 2 and all(len(x) == 5 for x in (packing._unpack(raw, len(lengths)) for raw in founded["population"]))
+    sent = packing._epoch(2, 5, 3, 0, True)(founded[founded.island == 0])
+    assert sent["island"].tolist() == [0, 1]  # the island itself, and its elite for the next one
+    elite = packing._unpack(sent["population"].iloc[1], len(lengths))
+    assert len(elite) == 1 and p.score(elite[0]) == max(map(p.score, packing._unpack(sent["population"].iloc[0], len(lengths))))
+
+
+def test_runs_are_merged_and_batches_skip_settled_lines(spark, tmp_path):
+    runs = line_dedup.LineRuns(spark, f"file://{tmp_path}/runs", fanout=2)
+    docs = lambda ids: spark.createDataFrame([(i, f"shared\nown {i}") for i in ids], "doc_id long, text string")
+    for k in range(5):
+        runs.add(line_dedup.line_rows(docs(range(4 * k, 4 * k + 4))), min_docs=8)
+    assert sorted(level for level, _ in runs.runs) == [0, 2]
+    counts = sorted(r.n for r in runs.counts().collect())
+    assert counts == [1] * 20 + [8]  # after two batches the shared line is settled
+    files = [f for _, name in runs.runs for f in (tmp_path / "runs" / name).glob("*.parquet")]
+    for f in files:
+        keys = [(r.h1, r.h2) for r in spark.read.parquet(str(f)).collect()]
+        assert keys == sorted(keys)
+    again = line_dedup.LineRuns(spark, f"file://{tmp_path}/runs", fanout=9, runs=runs.runs)
+    again.add(line_dedup.line_rows(docs(range(50, 52))), min_docs=8)
+    assert len(set(name for _, name in again.runs)) == 3 and again.frequent(8).count() == 1
+
+
 def test_line_dedup_of_odd_rows(spark, odd, none):
     got = {r.doc_id: r for r in line_dedup.op9(spark, odd).collect()}
     assert got[1].n_lines == got[2].n_lines == 1 and got[1].n_dropped == 0
