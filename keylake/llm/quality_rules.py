@@ -11,7 +11,8 @@ labelled documents (those with the smallest hashes of doc_id); everything else c
 Defined cases: a null text is empty, has no words and fails the base rule; rows without a label, or
 with a label other than 0 and 1, teach nothing; without labelled rows of both kinds the list is empty
 and only the base rule decides; repeated rows are judged each; labels that repeat or disagree for a
-doc_id all count; other columns are ignored.
+doc_id all count; an empty table gives an empty result, and empty labels an empty list; a statistic of a text
+without words is 0; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -40,3 +41,56 @@ def near_classes(texts: dict[int, str | None], near: float = 0.8) -> dict[int, i
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: root(i) for i in texts}
+
+
+def decision_list(rows: list[dict], cuts: dict[str, list[float]], max_rules=6, max_tests=3, precision=0.95, least=5) -> list[list[tuple]]:
+    """Sequential covering over rows as dicts, with thresholds to try for each statistic: each rule is a list of (stat, at_least, threshold)."""
+    rules, left = [], list(rows)
+    passes = lambda r, tests: all((r[s] >= c) == up for s, up, c in tests)
+    while len(rules) < max_rules:
+        inside, tests = [r for r in left if r["grow"]], []
+        while len(tests) < max_tests:
+            bad, good = sum(r["bad"] for r in inside), sum(1 - r["bad"] for r in inside)
+            best, test = 1e-9, None
+            if bad and good:
+                for s in cuts:
+                    for c in cuts[s]:
+                        for up in (True, False):
+                            some = [r for r in inside if (r[s] >= c) == up]
+                            b = sum(r["bad"] for r in some)
+                            g = len(some) - b
+                            gain = b * (math.log2((b + 1) / (b + g + 2)) - math.log2((bad + 1) / (bad + good + 2)))
+                            if b >= least and gain > best + 1e-9:
+                                best, test = gain, (s, up, c)
+            if test is None:
+                break
+            tests.append(test)
+            inside = [r for r in inside if passes(r, [test])]
+        if not tests:
+            break
+        kept_back, scored = [r for r in left if not r["grow"]], []
+        for k in range(1, len(tests) + 1):
+            some = [r for r in kept_back if passes(r, tests[:k])]
+            b = sum(r["bad"] for r in some)
+            scored.append(((2 * b - len(some)) / len(some) if some else -1.0, b, -k, b / len(some) if some else 0.0))
+        worth, _, k, share = max(scored)
+        if share < precision:
+            break
+        rules.append(tests[:-k])
+        left = [r for r in left if not passes(r, rules[-1])]
+    return rules
+
+
+def one_permutation(hashes: list[int], bins: int, bits: int, pick, mix) -> list[int]:
+    """The low bits of each bin's smallest hash; an empty bin asks others in turn."""
+    least = {}
+    for h in hashes:
+        b = h * bins >> 64
+        least[b] = min(h, least.get(b, h))
+    out = []
+    for b in range(bins):
+        at, k = b, 0
+        while at not in least:
+            at, k = pick(b, k), k + 1
+        out.append(mix(least[at]) % (1 << bits))
+    return out

@@ -119,6 +119,12 @@ def test_warc(spark, tmp_path):
     assert warc.op3(spark, pages.limit(0)).count() == 0
 
 
+def test_warc_of_clashing_columns_and_a_very_long_page(spark):
+    pages = spark.createDataFrame([(1, "u", "z" * 3_000_000, "x", 5), (2, "u" * 50_000, "z" * 3_000_000, "y", 6)], "page_id long, url string, html string, record_type string, payload_bytes int")
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.op3(spark, pages).collect()}
+    assert got == {1: ("revisit", 2, 3_000_000), 2: ("response", None, 3_000_000)}
+
+
 def test_archives_round_trip_with_their_dictionary(tmp_path):
     records = [warc.warc_record(i, f"http://h/{i}", (f"<html>page {i} " + "common words of a page " * 20).encode(), None) for i in range(300)]
     with open(tmp_path / "a.warc.zst", "wb") as f:
@@ -283,6 +289,24 @@ def test_fingerprints(spark, odd, none):
     assert fingerprint.op7(spark, none).count() == 0
 
 
+def test_fingerprints_equal_plain_ones(spark):
+    from keylake.llm.words import mixed, shingles
+
+    f = fingerprint.Fingerprinter()
+    mix = lambda x: int(mixed(np.array([x], np.uint64))[0])
+    pick = lambda b, k: mix((b << 32) + k + 0x1234567) % f.bins
+    plain = lambda t: brute.one_permutation([int(h) for h in shingles([t.encode()])[0]], f.bins, f.bits, pick, mix)
+    rows = sorted((i, t or "") for i, t in texts(spark).items())[:40]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.op7(spark, docs).collect()}
+    share = lambda a, b: sum(x == y for x, y in zip(a, b)) / f.bins
+    corrected = lambda s: max(0.0, (s - 1 / 16) / (15 / 16))
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        own, other = plain(t), plain(fingerprint.edited(t, after))
+        assert f.unpacked(got[i].fingerprint).tolist() == own and f.unpacked(got[i].edited_fingerprint).tolist() == other
+        assert abs(got[i].near_edited - corrected(share(own, other))) < 1e-9 and abs(got[i].near_next - corrected(share(own, plain(after)))) < 1e-9
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
@@ -374,6 +398,47 @@ def test_line_dedup_of_odd_rows(spark, odd, none):
     assert line_dedup.cleaned(odd).columns == odd.columns and line_dedup.op9(spark, none).count() == 0
 
 
+def rule_rows(seed, n=900):
+    """Bad by a conjunction of two statistics, by another one, and a little at random."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        r = {s: round(rng.random(), 4) for s in quality_rules.STATS}
+        bad = (r["symbol_ratio"] > 0.5 and r["digit_ratio"] > 0.6) or (r["upper_ratio"] > 0.8 and r["mean_word"] < 0.5) or rng.random() < 0.004
+        rows.append(r | {"bad": int(bad), "grow": i % 3 != 0})
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_decision_lists_equal_plain_covering(spark, seed):
+    rows = rule_rows(seed)
+    df = spark.createDataFrame([tuple(r[c] for c in (*quality_rules.STATS, "bad", "grow")) for r in rows], ", ".join(f"{s} double" for s in quality_rules.STATS) + ", bad int, grow boolean").coalesce(1).cache()
+    cuts = quality_rules._cuts(df)
+    for stat, at in cuts.items():  # about the quantiles
+        middle = float(np.median([r[stat] for r in rows]))
+        assert min(abs(c - middle) for c in at) < 0.03 and len(at) >= quality_rules.BINS
+    want = brute.decision_list(rows, cuts)
+    rules = quality_rules.learn_rules(df)
+    assert [[(t.stat, t.at_least, t.threshold) for t in r.tests] for r in rules] == want
+    assert len(want) >= 2 and max(map(len, want)) >= 2
+    kept = [r.keep for r in df.select(quality_rules.verdict(rules).alias("keep")).collect()]
+    assert kept == [not any(all((r[s] >= c) == up for s, up, c in rule) for rule in want) for r in rows]
+    wrong = sum(k == bool(r["bad"]) for k, r in zip(kept, rows))
+    assert wrong <= 0.06 * len(rows)
+
+
+def test_pruning_cuts_a_rule_that_grew_too_far(spark):
+    rows = [{s: 0.0 for s in quality_rules.STATS} | {"symbol_ratio": i % 20 / 20, "bad": int(i % 20 >= 10), "digit_ratio": (i * 7 % 10) / 10, "grow": i % 3 != 0} for i in range(600)]
+    for r in rows:  # among the rows to grow on, a second test seems to help
+        if r["grow"] and r["symbol_ratio"] >= 0.5 and r["digit_ratio"] < 0.3:
+            r["bad"] = 0
+    df = spark.createDataFrame([tuple(r[c] for c in (*quality_rules.STATS, "bad", "grow")) for r in rows], ", ".join(f"{s} double" for s in quality_rules.STATS) + ", bad int, grow boolean").coalesce(1)
+    grown = quality_rules._grow(df.filter("grow"), quality_rules._cuts(df), 3, 5)
+    rules = quality_rules.learn_rules(df)
+    assert len(grown.tests) == 2 and len(rules[0].tests) == 1
+    assert [[(t.stat, t.at_least, t.threshold) for t in r.tests] for r in rules] == brute.decision_list(rows, quality_rules._cuts(df))
+
+
 def test_quality_counts_equal_plain_ones(spark, odd, none):
     labels = table(spark, SF, "labels")
     for docs in (odd, table(spark, SF, "documents")):
@@ -395,6 +460,34 @@ def test_quality_counts_equal_plain_ones(spark, odd, none):
     assert quality_rules.accepted(odd, labels.limit(0)).columns == odd.columns
 
 
+def test_pipeline_stages_take_odd_rows_and_empty_tables(spark):
+    import corpus_pipeline
+
+    start = table(spark, SF, "documents")
+    rows = [(i, t, None if k % 2 else "en", None, None) for k, (i, t) in enumerate(ODD)]
+    odd = spark.createDataFrame(rows, start.schema)
+    for docs in (odd, odd.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if stage is not corpus_pipeline.pack:
+                assert out.columns == start.columns
+            assert out.count() <= 200 and (docs is odd or out.count() == 0)
+
+
+def test_line_stage_equals_a_plain_version(spark):
+    import corpus_pipeline
+
+    docs = table(spark, SF, "documents")
+    key = lambda x: x.strip(" \t\n\x0b\f\r").translate({c: c + 32 for c in range(65, 91)})
+    found = {r.doc_id: (r.text or "").split("\n") for r in docs.collect()}
+    holders = {}
+    for i, lines in found.items():
+        for k in {key(x) for x in lines} - {""}:
+            holders[k] = holders.get(k, 0) + 1
+    want = {i: "\n".join(x for x in lines if holders.get(key(x), 0) < 10) for i, lines in found.items()}
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_shared_lines(spark, docs, SF).collect()} == want
+
+
 def test_pipeline_keeps_columns_and_packs_what_is_left(spark):
     import corpus_pipeline
 
