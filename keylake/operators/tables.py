@@ -159,7 +159,7 @@ def compacted(log: DataFrame, now: int | None = None) -> DataFrame:
     return out if now is None else out.filter(~dead(now))
 
 
-def write_sorted(log: DataFrame, path: str, max_rows: int = 1_000_000, splits: DataFrame | None = None, filters_for: int | None = None) -> None:
+def write_sorted(log: DataFrame, path: str, max_rows: int = 1_000_000, splits: DataFrame | None = None, filters_for: int | None = None, mode: str = "errorifexists") -> None:
     """Tables of disjoint, sorted key ranges: readers skip row groups by their least and greatest keys.
 
     splits (of split_points): rows of a split range are dealt further by their hash, `max_rows` of them to a file at most. filters_for: files
@@ -171,9 +171,9 @@ def write_sorted(log: DataFrame, path: str, max_rows: int = 1_000_000, splits: D
     else:
         upper = splits.filter("hi is not null").select("hi").distinct()
         rows = split_of(log, upper)
-    writer = rows.sortWithinPartitions("key", *newest).write.option("maxRecordsPerFile", max_rows).mode("errorifexists")
+    writer = rows.sortWithinPartitions("key", *newest).write.option("maxRecordsPerFile", max_rows).mode(mode)
     if filters_for is not None:
-        writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", filters_for)
+        writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.expected.ndv#key", filters_for)
     (writer if splits is None else writer.partitionBy("split")).parquet(path)
 
 

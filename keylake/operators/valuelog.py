@@ -70,7 +70,12 @@ def recovered(records: DataFrame, bad: Column, now: int) -> DataFrame:
 
 def discard_stats(records: DataFrame, now: int) -> DataFrame:
     """Per file: bytes, bytes of dead records and their share."""
-    out = with_liveness(records, now).groupBy("fid").agg(F.sum("len").alias("total"), F.coalesce(F.sum(F.when(~F.col("alive"), F.col("len"))), F.lit(0)).alias("discard"))
+    return dead_bytes(with_liveness(records, now))
+
+
+def dead_bytes(judged: DataFrame) -> DataFrame:
+    """discard_stats of records that with_liveness has judged."""
+    out = judged.groupBy("fid").agg(F.sum("len").alias("total"), F.coalesce(F.sum(F.when(~F.col("alive"), F.col("len"))), F.lit(0)).alias("discard"))
     return out.withColumn("ratio", F.round(F.col("discard") / F.col("total"), 6))
 
 
@@ -88,9 +93,9 @@ def picked(stats: DataFrame, head: DataFrame) -> DataFrame:
     return older.orderBy(F.col("discard").desc(), "fid").limit(1)
 
 
-def survivors(records: DataFrame, files: DataFrame, now: int) -> DataFrame:
-    """What a rewrite of the files puts back: their records that are alive."""
-    return with_liveness(records, now).filter("alive").join(files.select("fid"), "fid", "left_semi").select("key", "value", "op", "ttl", "version", "seq", "fid", "offset")
+def survivors(judged: DataFrame, files: DataFrame) -> DataFrame:
+    """What a rewrite of the files puts back: their records (of with_liveness) that are alive."""
+    return judged.filter("alive").join(files.select("fid"), "fid", "left_semi").select("key", "value", "op", "ttl", "version", "seq", "fid", "offset")
 
 
 def newest_pointer(records: DataFrame) -> DataFrame:

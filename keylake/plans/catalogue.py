@@ -292,8 +292,8 @@ def _(s, d):
 
 @query("kv_gc_survivors", f'WITH {ALIVE} SELECT {ALL}, fid, "offset" FROM alive WHERE alive AND fid IN (SELECT fid FROM discards WHERE discard >= 0.9 * total)')
 def _(s, d):
-    records = _records(s, d)
-    return valuelog.survivors(records, valuelog.collectable(valuelog.discard_stats(records, NOW), 0.9), NOW)
+    judged = written(valuelog.with_liveness(_records(s, d), NOW))
+    return valuelog.survivors(judged, valuelog.collectable(valuelog.dead_bytes(judged), 0.9))
 
 
 @query("kv_gc_log_after", f"""WITH {ALIVE}, gone AS (SELECT fid FROM discards WHERE discard >= 0.9 * total),

@@ -107,9 +107,9 @@ class Store:
         return reads.info(self.log(), self._now(now))
 
     def compact(self, now: int | None = None) -> int:
-        """Writes the live rows, sorted, as the next generation, and moves to it."""
+        """Writes the live rows, in sorted files with Bloom filters on the key, as the next generation, and moves to it."""
         following = self.generation + 1
-        tables.compacted(self.log(), self._now(now)).repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{self._gen(following)}/batch={self._batch}")
+        tables.write_sorted(tables.compacted(self.log(), self._now(now)), f"{self._gen(following)}/batch={self._batch}", self.options.value_log_entries, filters_for=self.options.value_log_entries, mode="overwrite")
         self._finish(following)
         return following
 

@@ -1,6 +1,7 @@
 """The log as a stream: batches are appended, and a running latest row of each key is kept with its expiry.
 
-Event expiry is the row's ttl against the watermark of event time, so results don't depend on the wall clock.
+Event expiry is the row's ttl against the watermark of event time, so results don't depend on the wall clock. Keys
+whose newest row never expires (ttl 0) keep their state for good: one row a key, as the table itself has.
 """
 
 from __future__ import annotations
@@ -44,14 +45,16 @@ def running_latest(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
         best = state.get if state.exists else None
         changed = False
         for pdf in parts:
-            for r in pdf[["version", "seq", "op", "ttl", "value"]].itertuples(index=False):
-                row = (int(r.version), int(r.seq), r.op, int(r.ttl), r.value)
+            if len(pdf):
+                r = pdf.sort_values(["version", "seq"], kind="stable").iloc[-1]
+                row = (int(r["version"]), int(r["seq"]), r["op"], int(r["ttl"]), r["value"])
                 if best is None or row[:2] > tuple(best[:2]):
                     best, changed = row, True
         if changed:
             state.update(best)
-            if best[3] and best[3] * 1000 > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(best[3] * 1000)
+        if best is not None and best[3]:  # a row that is expired already goes with the next step of the watermark
+            state.setTimeoutTimestamp(max(best[3] * 1000, state.getCurrentWatermarkMs() + 1))
+        if changed:
             yield pd.DataFrame({"key": [key[0]], "value": [best[4]], "op": [best[2]], "ttl": [best[3]], "version": [best[0]], "seq": [best[1]]})
 
     return rows.groupBy("key").applyInPandasWithState(update, LATEST, "version long, seq long, op string, ttl long, value string", "update", GroupStateTimeout.EventTimeTimeout)
