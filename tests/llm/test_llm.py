@@ -162,6 +162,54 @@ def test_dense_groups_equal_brute_force(spark, seed, n, words):
     assert {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()} == want
 
 
+def families(seed, n=500):
+    """Copies of three related texts, with words replaced, left out, cut off at an end, or with a passage that several share."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(80)]
+    bases = [base, base[:60] + [word() for _ in range(20)], [word() for _ in range(12)] + base[12:]]
+    passages = [[word() for _ in range(25)] for _ in range(3)]
+    out = []
+    for _ in range(n):
+        own = list(r.choice(bases))
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4])):
+            at, kind = r.randrange(len(own)), r.random()
+            if kind < 0.4:
+                del own[at]
+            elif kind < 0.6:
+                own[at] = r.choice("xyz") * 3  # few words, so copies share changes by chance
+            else:
+                own[at] = word()
+        if r.random() < 0.4:
+            own = own[: len(own) - r.randrange(1, 22)]
+        if r.random() < 0.3:
+            own += r.choice(passages)[: r.randrange(8, 25)]
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_families_equal_brute_force(spark, seed):
+    found = dict(enumerate(families(seed)))
+    docs = spark.createDataFrame(list(found.items()), "doc_id long, text string")
+    want = brute.near_classes(found)
+    assert 5 < len(set(want.values())) < len(found) - 100
+    assert {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()} == want
+
+
+def test_no_link_is_lost_without_hubs_or_stars(spark, monkeypatch):
+    """One bucket of all nodes, and only postings to find links beyond the hub's and the centre's."""
+    monkeypatch.setattr(near_dedup, "stars", lambda rows, near: near_dedup.candidates(rows.limit(0), rows, near))
+    found = dict(enumerate(families(7, 400)))
+    docs = near_dedup.keyed(spark.createDataFrame(list(found.items()), "doc_id long, text string"))
+    prints = near_dedup.stored(near_dedup.signed(docs))
+    shingles = near_dedup.stored(near_dedup.shingled(docs).groupBy("node").agg(F.first("units").alias("units"), F.first("size").alias("size")))
+    labels = near_dedup.classes_of(prints.select(F.lit(1).alias("key"), "node", F.abs(F.col("node") % 1000).alias("w")).distinct(), shingles)
+    got = {r.doc_id: r.label for r in prints.join(labels, "node").collect()}
+    want = brute.near_classes(found)
+    assert len(set(want.values())) == len(set(got.values())) == len(set((want[i], got[i]) for i in found))
+
+
 def test_near_classes_of_odd_rows(spark, odd, none):
     got = [(r.doc_id, r.class_id) for r in near_dedup.near_classes(odd).collect()]
     assert len(got) == len(ODD) and {c for i, c in got if i in (1, 2, 3)} == {1}
