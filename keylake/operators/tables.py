@@ -86,8 +86,17 @@ def level_to_next(tables: DataFrame, level: int, in_flight: DataFrame) -> DataFr
 
 def reserved(in_flight: DataFrame, plans: DataFrame) -> DataFrame:
     """Ranges under way (level, lo, hi) with those of plans from level_to_next (with their level) added, both of the level and of the next."""
+    return in_flight.select("level", "lo", "hi").unionByName(_ranges_of(plans))
+
+
+def released(in_flight: DataFrame, plans: DataFrame) -> DataFrame:
+    """Ranges under way without those of plans that are done: of equal ranges one goes for each plan."""
+    return in_flight.select("level", "lo", "hi").exceptAll(_ranges_of(plans))
+
+
+def _ranges_of(plans: DataFrame) -> DataFrame:
     both = F.array(F.struct(F.col("level").alias("level"), F.col("this_lo").alias("lo"), F.col("this_hi").alias("hi")), F.struct((F.col("level") + 1).alias("level"), F.col("next_lo").alias("lo"), F.col("next_hi").alias("hi")))
-    return in_flight.select("level", "lo", "hi").unionByName(plans.select(F.inline(both)))
+    return plans.select(F.inline(both))
 
 
 def file_targets(levels: DataFrame, options: Options) -> DataFrame:

@@ -429,6 +429,13 @@ def _(s, d):
     return tables.reserved(_busy(t), tables.level_to_next(t, 1, _busy(t)).withColumn("level", F.lit(1).cast("long")))
 
 
+@query("kv_released_ranges", f"WITH {PLAN} SELECT level, lo, hi FROM busy")
+def _(s, d):
+    t = _narrow(s, d)
+    plan = written(tables.level_to_next(t, 1, _busy(t)).withColumn("level", F.lit(1).cast("long")))
+    return tables.released(tables.reserved(_busy(t), plan), plan)
+
+
 @query("kv_compact_by_split", f"""WITH {LATEST}, {TABLES.split(', tab AS (', 1)[1].join(['tab AS (', ''])}, n AS (SELECT max_key, row_number() OVER (ORDER BY min_key, table_id) AS rn, count(*) OVER () AS n FROM tabs WHERE level = 6),
 c AS (SELECT max_key FROM n WHERE (rn - 1) % greatest(3, CAST(ceil(n / 5) AS BIGINT)) = greatest(3, CAST(ceil(n / 5) AS BIGINT)) - 1 AND rn < n)
 SELECT key, version, seq, (SELECT count(*) FROM (SELECT DISTINCT max_key FROM c) WHERE max_key < key) AS split FROM latest WHERE op <> 'DEL' AND (ttl = 0 OR ttl > {NOW})""")
