@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import os
 import random
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylake.llm.common import batch_of, shared_file, stored, text_or_empty
+from keylake.llm.words import groups
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -38,7 +41,7 @@ EPOCHS = 3
 GENERATIONS = 12
 #: The greatest blur of a founder, as a share of the length.
 BLUR = 0.3
-CACHED = 300_000
+CACHED = 1_000_000
 
 PIECE = "deal long, doc_id long, piece int, start long, length long, ids_crc32 long"
 ISLAND = "shard long, island int, lengths binary, population binary, capacity int"
@@ -55,7 +58,10 @@ class _WordIds(dict):
 
     def ids_of(self, words: list[bytes]) -> dict[bytes, bytes]:
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)}
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        if sys.byteorder == "little" and array("I").itemsize == 4:
+            return {w: array("I", e.ids).tobytes() for w, e in zip(words, found, strict=True)}
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
 
 
 _words: dict[str, _WordIds] = {}
@@ -68,20 +74,20 @@ def _known(name: str, file) -> _WordIds:
     return _words[name]
 
 
-def token_bytes(text: str, known: _WordIds, closing: int | None = CLOSING_ID) -> bytes:
-    """A text's ids and the closing id, as little-endian unsigned 32-bit bytes.
+def token_bytes(texts: list[str], known: _WordIds, closing: int | None = CLOSING_ID) -> list[bytes]:
+    """Each text's ids and the closing id, as little-endian unsigned 32-bit bytes.
 
     The tokenizer turns white space into word ends before it splits, so words between ASCII white
-    space have their ids whatever stands beside them.
+    space have their ids whatever stands beside them. Words that aren't known yet are encoded once for all texts.
     """
-    words = text.encode().split()
-    parts = list(map(known.get, words))
-    if None in parts:
-        new = known.ids_of(list({w for w, p in zip(words, parts) if p is None}))
-        parts = [new[w] if p is None else p for w, p in zip(words, parts)]
-        if len(known) < CACHED:
-            known.update(new)
-    return b"".join(parts) + (b"" if closing is None else np.array([closing], "<u4").tobytes())
+    split = [text.encode().split() for text in texts]
+    ids = known.ids_of(list(set().union(*split).difference(known)))
+    end = b"" if closing is None else np.array([closing], "<u4").tobytes()
+    if len(known) < CACHED:
+        known.update(ids)
+        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+    parts = (zip(words, map(known.get, words)) for words in split)
+    return [b"".join([ids[w] if p is None else p for w, p in pairs]) + end for pairs in parts]
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -93,12 +99,13 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         number, known = TaskContext.get().partitionId() << 33, _known(name, file)
         for b in it:
             out = []
-            for doc_id, text in zip(b.column("doc_id"), b.column("text"), strict=True):
-                ids = token_bytes(text.as_py(), known)
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((number, doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part)))
-                    number += 1
+            doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            for lot in groups(texts):
+                for doc_id, ids in zip(doc_ids[lot], token_bytes(texts[lot], known), strict=True):
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        out.append((number, doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                        number += 1
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             cols = list(zip(*out)) or [[]] * 6
             yield batch_of({f.split()[0]: (list(c), k) for f, c, k in zip(PIECE.split(", "), cols, kinds, strict=True)})
