@@ -378,6 +378,10 @@ def test_packing(spark, odd, none):
             assert at <= 2048
         assert len(by) <= -(-sum(r.length for r in rows) // 2048) + 2
     assert packing.op8(spark, none, path).count() == 0
+    with open(path, "rb") as f:
+        known = packing._WordIds(f.read())
+    odd_words = ["<|endoftext|>", "x<|startoftext|>y", "don't", "a\u00a0b", "\u200b", "e\u0301", "\u3000", "🎉", "日本語", "İ", "x" * 5000, "\x00", "\x1c"]
+    assert known.ids_of([w.encode() for w in odd_words]) == {w.encode(): np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in odd_words}
 
 
 def pieces_of(spark, lengths):
