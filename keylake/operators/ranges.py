@@ -61,10 +61,13 @@ def beside(keys: DataFrame, probes: DataFrame) -> DataFrame:
     rows = ranged(k.unionByName(p.select("at", F.lit(BEGIN).alias("kind"))).unionByName(p.select("at", F.lit(END).alias("kind"))), "at", "kind")
     key = F.when(F.col("kind") == POINT, F.col("at"))
     ends = rows.groupBy("part").agg(F.max(key).alias("high"), F.min(key).alias("low"))
-    order = W.orderBy("part")  # over one row a part
-    across = ends.select("part", F.last("high", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.first("low", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("after"))
-    own = W.partitionBy("part").orderBy("at", "kind")
-    near = rows.select("part", "at", "kind", F.last(key, True).over(own.rowsBetween(W.unboundedPreceding, -1)).alias("l"), F.first(key, True).over(own.rowsBetween(1, W.unboundedFollowing)).alias("g"))
+    # What follows is what comes before in the falling order: a frame that ends at the last row is read anew for every row.
+    so_far = lambda order: order.rowsBetween(W.unboundedPreceding, -1)
+    up, down = so_far(W.orderBy("part")), so_far(W.orderBy(F.col("part").desc()))  # over one row a part
+    across = ends.select("part", F.last("high", True).over(up).alias("before"), F.last("low", True).over(down).alias("after"))
+    own = W.partitionBy("part")
+    rising, falling = so_far(own.orderBy("at", "kind")), so_far(own.orderBy(F.col("at").desc(), F.col("kind").desc()))
+    near = rows.select("part", "at", "kind", F.last(key, True).over(rising).alias("l"), F.last(key, True).over(falling).alias("g"))
     near = near.filter(F.col("kind") != POINT).join(across, "part").select("at", "kind", F.coalesce("l", "before").alias("l"), F.coalesce("g", "after").alias("g"))
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     return near.groupBy(F.col("at").alias("probe")).agg(of(END, "g").alias("gt"), of(BEGIN, "g").alias("ge"), of(BEGIN, "l").alias("lt"), of(END, "l").alias("le"))

@@ -177,6 +177,16 @@ def test_neighbours_of_more_probes_than_keys(spark):
     assert reads.neighbours(log.limit(0), ["a"], NOW).first().asDict() == {"probe": "a", "gt": None, "ge": None, "lt": None, "le": None}
 
 
+def _reads_no_frame_anew(df):
+    plan = df._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
+def test_neighbours_of_a_table_read_no_frame_anew_for_every_row(spark):
+    log = spark.createDataFrame([(f"k{i:04d}", "v", "PUT", 0, 1, i) for i in range(10)], SCHEMA)
+    _reads_no_frame_anew(reads.neighbours(log, spark.createDataFrame([("k0003",)], "probe string"), NOW))
+
+
 def test_a_long_value_doesnt_widen_the_others():
     values = [b"x"] * 1000 + [b"y" * 100_000] + [b"zz"]
     assert sketches.hash_bytes(values)[:1].tolist() == sketches.hash_bytes([b"x"]).tolist() and sketches.crc32c_bytes(values)[-1] == sketches.crc32c_bytes([b"zz"])[0]
