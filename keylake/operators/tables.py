@@ -43,7 +43,7 @@ def overlapping(tables: DataFrame) -> DataFrame:
     """Each table with the tables of the next level that overlap it."""
     t = written(tables.select("table_id", "level", "min_key", "max_key"))
     below = t.select(F.col("table_id").alias("below_id"), (F.col("level") - 1).alias("above"), F.col("min_key").alias("b_lo"), F.col("max_key").alias("b_hi"))
-    return ranges.overlaps(t, below, "min_key", "max_key", "b_lo", "b_hi").filter("level = above").select("table_id", "level", "below_id")
+    return ranges.overlaps(t, below, "min_key", "max_key", "b_lo", "b_hi", ("level", "above")).select("table_id", "level", "below_id")
 
 
 def tables_for_keys(keys: DataFrame, tables: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def conflicting(plans: DataFrame, in_flight: DataFrame) -> DataFrame:
     """The plans (plan_id, level, lo, hi) that overlap a range under way at their level. A plan without ends overlaps all, a range under way without ends none but such plans."""
     busy = in_flight.select(F.col("level").alias("l"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
     whole = plans.filter("lo is null and hi is null").join(busy.select("l").distinct(), F.col("level") == F.col("l"), "left_semi")
-    hit = ranges.overlaps(plans.select("plan_id", "level", "lo", "hi"), busy, "lo", "hi", "b_lo", "b_hi").filter("level = l").select("plan_id").distinct()
+    hit = ranges.overlaps(plans.select("plan_id", "level", "lo", "hi"), busy, "lo", "hi", "b_lo", "b_hi", ("level", "l")).select("plan_id").distinct()
     return plans.join(hit, "plan_id", "left_semi").unionByName(whole)
 
 

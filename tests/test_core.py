@@ -187,6 +187,20 @@ def test_neighbours_of_a_table_read_no_frame_anew_for_every_row(spark):
     _reads_no_frame_anew(reads.neighbours(log, spark.createDataFrame([("k0003",)], "probe string"), NOW))
 
 
+def _largest_share(df):
+    """The part of the rows that one task makes."""
+    n = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    return max(n) / sum(n)
+
+
+def test_pairs_of_wide_ranges_are_dealt_over_tasks(spark):
+    keys = spark.range(6000).select(F.format_string("k%05d", "id").alias("key"))
+    wide = spark.range(40).select(F.col("id").alias("table_id"), (F.col("id") % 3).alias("level"), F.format_string("k%05d", "id").alias("min_key"), F.format_string("k%05d", 5999 - F.col("id")).alias("max_key"))
+    got = tables.tables_for_keys(keys, wide)
+    assert got.count() == sum(6000 - 2 * i for i in range(40)) and got.distinct().count() == got.count()
+    assert _largest_share(got) < 0.5
+
+
 def test_a_long_value_doesnt_widen_the_others():
     values = [b"x"] * 1000 + [b"y" * 100_000] + [b"zz"]
     assert sketches.hash_bytes(values)[:1].tolist() == sketches.hash_bytes([b"x"]).tolist() and sketches.crc32c_bytes(values)[-1] == sketches.crc32c_bytes([b"zz"])[0]
