@@ -201,6 +201,15 @@ def test_pairs_of_wide_ranges_are_dealt_over_tasks(spark):
     assert _largest_share(got) < 0.5
 
 
+def test_keys_of_a_few_narrow_tables_are_dealt_over_tasks(spark):
+    keys = spark.range(6000).select(F.format_string("k%05d", "id").alias("key"))
+    number = F.format_string("k%05d", F.col("id") * 500)
+    narrow = spark.range(12).select(F.col("id").alias("table_id"), F.lit(0).alias("level"), number.alias("min_key"), F.format_string("k%05d", F.col("id") * 500 + 499).alias("max_key"))
+    got = tables.tables_for_keys(keys, narrow)
+    assert sorted((r.key, r.table_id) for r in got.collect()) == [(f"k{i:05d}", i // 500) for i in range(6000)]
+    assert _largest_share(got) < 0.5
+
+
 def test_a_long_value_doesnt_widen_the_others():
     values = [b"x"] * 1000 + [b"y" * 100_000] + [b"zz"]
     assert sketches.hash_bytes(values)[:1].tolist() == sketches.hash_bytes([b"x"]).tolist() and sketches.crc32c_bytes(values)[-1] == sketches.crc32c_bytes([b"zz"])[0]
