@@ -210,6 +210,13 @@ def test_keys_of_a_few_narrow_tables_are_dealt_over_tasks(spark):
     assert _largest_share(got) < 0.5
 
 
+def test_neighbours_of_a_list_read_no_frame_anew_for_every_row(spark):
+    log = spark.createDataFrame([(f"k{i:04d}", "v", "PUT", 0, 1, i) for i in range(0, 900, 3)], SCHEMA)
+    got = reads.neighbours(log, ["k0003", "k0898", "k0000"], NOW)
+    _reads_no_frame_anew(got)
+    assert sorted(tuple(r) for r in got.collect()) == [("k0000", "k0003", "k0000", None, "k0000"), ("k0003", "k0006", "k0003", "k0000", "k0003"), ("k0898", None, None, "k0897", "k0897")]
+
+
 def test_a_long_value_doesnt_widen_the_others():
     values = [b"x"] * 1000 + [b"y" * 100_000] + [b"zz"]
     assert sketches.hash_bytes(values)[:1].tolist() == sketches.hash_bytes([b"x"]).tolist() and sketches.crc32c_bytes(values)[-1] == sketches.crc32c_bytes([b"zz"])[0]
