@@ -377,7 +377,7 @@ def _narrow(spark: SparkSession, folder: str) -> DataFrame:
     level = F.col("seq") % 3
     number = level * 1000 + F.floor(F.substring("key", 1, 5).cast("long") / (20 + 5 * level))
     out = tables.table_stats(_kv(spark, folder), number, NOW).withColumn("level", F.floor(F.col("table_id") / 1000))
-    return written(out.withColumn("in_flight", F.col("table_id") % 7 == 3))
+    return out.withColumn("in_flight", F.col("table_id") % 7 == 3)
 
 
 @query("kv_narrow_overlap", f"WITH {NARROW} SELECT a.table_id, a.level, b.table_id AS below_id FROM tabs a JOIN tabs b ON b.level = a.level + 1 AND a.min_key <= b.max_key AND a.max_key >= b.min_key")
@@ -404,7 +404,7 @@ def _(s, d):
 
 @query("kv_l0_to_base_narrow", _top(NARROW, 1))
 def _(s, d):
-    return tables.level_zero_to_base(_narrow(s, d), 1)
+    return tables.level_zero_to_base(written(_narrow(s, d)), 1)
 
 
 PLAN = f"""{NARROW}, busy AS (SELECT level, min_key AS lo, max_key AS hi FROM tabs WHERE in_flight),
@@ -419,19 +419,19 @@ def _busy(tabs: DataFrame) -> DataFrame:
 
 @query("kv_level_to_next", f"WITH {PLAN} SELECT * FROM plan")
 def _(s, d):
-    t = _narrow(s, d)
+    t = written(_narrow(s, d))
     return tables.level_to_next(t, 1, _busy(t))
 
 
 @query("kv_reserved_ranges", f"WITH {PLAN} SELECT level, lo, hi FROM busy UNION ALL SELECT 1, this_lo, this_hi FROM plan UNION ALL SELECT 2, next_lo, next_hi FROM plan")
 def _(s, d):
-    t = _narrow(s, d)
+    t = written(_narrow(s, d))
     return tables.reserved(_busy(t), tables.level_to_next(t, 1, _busy(t)).withColumn("level", F.lit(1).cast("long")))
 
 
 @query("kv_released_ranges", f"WITH {PLAN} SELECT level, lo, hi FROM busy")
 def _(s, d):
-    t = _narrow(s, d)
+    t = written(_narrow(s, d))
     plan = written(tables.level_to_next(t, 1, _busy(t)).withColumn("level", F.lit(1).cast("long")))
     return tables.released(tables.reserved(_busy(t), plan), plan)
 

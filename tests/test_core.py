@@ -210,6 +210,11 @@ def test_keys_of_a_few_narrow_tables_are_dealt_over_tasks(spark):
     assert _largest_share(got) < 0.5
 
 
+def test_key_ranges_of_narrow_tables_read_no_values(spark):
+    plan = catalogue._narrow(spark, SF).select("table_id", "level", "min_key", "max_key")._jdf.queryExecution().executedPlan().toString()
+    assert "user_id" in plan and "props" not in plan
+
+
 def test_neighbours_of_a_list_read_no_frame_anew_for_every_row(spark):
     log = spark.createDataFrame([(f"k{i:04d}", "v", "PUT", 0, 1, i) for i in range(0, 900, 3)], SCHEMA)
     got = reads.neighbours(log, ["k0003", "k0898", "k0000"], NOW)
