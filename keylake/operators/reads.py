@@ -5,6 +5,7 @@ Conditions on the key are put on the log before the latest row is chosen, so tha
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def range_scan(log: DataFrame, low: str | None, high: str | None, now: int) -> D
 def neighbours(log: DataFrame, probes: DataFrame | list[str], now: int) -> DataFrame:
     """Per distinct probe (a table with the column probe, of any size, or a list) the nearest live keys: gt, ge, lt and le."""
     if not isinstance(probes, DataFrame):
-        probes = log.sparkSession.createDataFrame([(p,) for p in probes], "probe string")
+        probes = log.sparkSession.createDataFrame(pa.table({"probe": pa.array(probes, pa.string())}))  # rows of the plan, no Python on the executors
     return ranges.beside(live_rows(log, now).select("key"), probes)
 
 

@@ -222,6 +222,15 @@ def test_neighbours_of_a_list_read_no_frame_anew_for_every_row(spark):
     assert sorted(tuple(r) for r in got.collect()) == [("k0000", "k0003", "k0000", None, "k0000"), ("k0003", "k0006", "k0003", "k0000", "k0003"), ("k0898", None, None, "k0897", "k0897")]
 
 
+def test_probes_of_a_list_need_no_python_on_the_executors(spark, monkeypatch):
+    monkeypatch.setattr(reads.ranges, "beside", lambda keys, probes: probes)
+    log = spark.createDataFrame([("k", "v", "PUT", 0, 1, 0)], SCHEMA)
+    for probes in (["b", "", None], []):
+        got = reads.neighbours(log, probes, NOW)
+        assert got.schema.simpleString() == "struct<probe:string>" and [r.probe for r in got.collect()] == probes
+        assert "LocalTableScan" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_long_value_doesnt_widen_the_others():
     values = [b"x"] * 1000 + [b"y" * 100_000] + [b"zz"]
     assert sketches.hash_bytes(values)[:1].tolist() == sketches.hash_bytes([b"x"]).tolist() and sketches.crc32c_bytes(values)[-1] == sketches.crc32c_bytes([b"zz"])[0]
